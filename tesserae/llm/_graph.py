@@ -42,40 +42,19 @@ def _checksum(edges: DataFrame) -> tuple:
 
 
 def block_pairs(rows: DataFrame, n_blocks: Column, salt: Column) -> DataFrame:
-    """`rows` dealt to every unordered pair (i, j) of its group's `n_blocks` blocks; adds columns i, j and own (its block).
+    """`rows` dealt to every unordered pair (i, j) of its group's `n_blocks` blocks; adds i and j.
 
     A group of n members in blocks of b becomes about (n/b)**2/2 units of at most 2b rows each: no unit grows with
     the group, and every pair of members meets in at least one unit (pairs within a block meet in unit (i, i)).
     """
-    dealt = rows.withColumn("_n", n_blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64(salt), F.col("_n")).cast("int"))
+    dealt = rows.withColumn("_n", n_blocks.cast("int")).withColumn("_own", F.pmod(F.xxhash64(salt), F.col("_n")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return dealt.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o")).drop("_o", "_n")
-
-
-class Union:
-    """Union-find over 0..n-1 that keeps the smallest member as root."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
+    return dealt.withColumn("i", F.least("_own", "_o")).withColumn("j", F.greatest("_own", "_o")).drop("_o", "_n", "_own")
 
 
 def star_edges(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, smallest member) of the components of a symmetric boolean matrix over `ids`."""
     n = len(ids)
-    label = np.arange(n)
     left = np.ones(n, bool)
     out_a, out_b = [], []
     for x in range(n):
@@ -90,7 +69,6 @@ def star_edges(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
             front = np.flatnonzero(reached)
         left &= ~found
         members = np.flatnonzero(found)
-        label[members] = x
         if len(members) > 1:
             root = ids[members].min()
             other = members[ids[members] != root]
