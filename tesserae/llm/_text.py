@@ -118,3 +118,12 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's long, bit for bit."""
     return x.astype(U64, copy=False).view(np.int64)
+
+
+def runs_of(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours start."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    change = np.ones(len(keys), bool)
+    change[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(change)
