@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import embeddings, fingerprints, lm, minhash, mixing, packing, secrets, tokens
+from tesserae.llm import embeddings, fingerprints, lm, minhash, mixing, packing, secrets, suffix, tokens
 from tesserae.llm._ship import ship
 
 #: The public tokenizer that op5 counts with.
@@ -23,6 +23,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scores": op4_lm_scores,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,
