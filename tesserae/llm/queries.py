@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import embeddings, fingerprints, lm, minhash, mixing, packing, secrets, suffix, tokens
+from tesserae.llm import embeddings, fingerprints, lm, minhash, mixing, packing, secrets, suffix, tokens, toxicity
 from tesserae.llm._ship import ship
 
 #: The public tokenizer that op5 counts with.
@@ -23,6 +23,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    machine = toxicity.fit(docs, labels.select("doc_id", "toxic"), held_out)
+    return toxicity.score_documents(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -64,6 +71,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scores": op4_lm_scores,
     "op5_token_counts": op5_token_counts,
