@@ -28,8 +28,17 @@ PATTERNS = {
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+# Words that identifiers are usually made of.
+COMMON_WORDS = """user name value index count config file path list item data type error request response session client server
+handler manager service factory builder helper message event queue table column query result cache buffer string number object
+array field key group order customer account address email phone country language version update create delete insert select
+filter parse format print write read open close start stop begin end first last next previous total average window frame
+default public private static final class method function module package import export test example project system process
+thread worker task job stage batch stream record document text token label source target weight size length width height""".split()
 #: Bits a transition above which a candidate is taken for random.
 THRESHOLD = 1.0
+#: Counts of the overall frequencies that are mixed into those after each character.
+PRIOR = 5
 #: Labelled rows of each class that the model is fitted on: a bounded sample.
 SAMPLE_ROWS = 20000
 
@@ -40,7 +49,7 @@ def _pairs_sql(text: str) -> str:
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
-    """(sample, random boolean): random strings written in the usual key alphabets, and words of `docs` as ordinary ones.
+    """(sample, random boolean): random strings written in the usual key alphabets; ordinary ones of words of `docs` and of pairs of COMMON_WORDS.
 
     Ordinary words come from the `rows // 100` documents of smallest text hash, so the sample is the same on every
     run; words that hold digits are left out, as they may be keys. Each also appears upper-cased and joined in pairs.
@@ -52,11 +61,17 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_RO
     chosen = docs.select(F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").orderBy(F.xxhash64("t")).limit(max(1, rows // 100))
     words = chosen.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
     words = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(rows)
-    return noise.union(words.select(F.explode(F.array(F.col("w"), F.upper("w"), F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")))), F.lit(False)))
+    common = spark.createDataFrame([(" ".join(COMMON_WORDS),)], "all string").select(F.split("all", " ").alias("all"))
+    common = common.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    joined = common.select(F.explode(F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat("a", "b"), F.upper(F.concat_ws("_", "a", "b")))), F.lit(False))
+    written = words.select(F.explode(F.array(F.col("w"), F.upper("w"), F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")))), F.lit(False))
+    return noise.union(written).union(joined)
 
 
 def train(samples: DataFrame, sample: str = "sample", random: str = "random") -> list[float] | None:
-    """Log-likelihood ratios log2 P(b | a, random) - log2 P(b | a, ordinary), row by row; add-one smoothing.
+    """Log-likelihood ratios log2 P(b | a, random) - log2 P(b | a, ordinary), row by row.
+
+    A character's frequencies after another are smoothed by PRIOR counts in proportion to its overall (add-one) frequency.
 
     The result is of fixed size, the alphabet's square; None if a class has no samples.
     """
@@ -67,11 +82,10 @@ def train(samples: DataFrame, sample: str = "sample", random: str = "random") ->
     if len({r for r, _ in counts}) < 2:
         return None
     def logs(r: bool) -> list[float]:
-        out = []
-        for a in range(k):
-            n = [counts.get((r, a * k + b), 0) + 1 for b in range(k)]
-            out += [log2(x / sum(n)) for x in n]
-        return out
+        after = [[counts.get((r, a * k + b), 0) for b in range(k)] for a in range(k)]
+        alone = [sum(row[b] for row in after) + 1 for b in range(k)]
+        share = [n / sum(alone) for n in alone]
+        return [log2((n + PRIOR * p) / (sum(row) + PRIOR)) for row in after for n, p in zip(row, share, strict=True)]
 
     return [round(x - y, 3) for x, y in zip(logs(True), logs(False), strict=True)]
 
