@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,33 +24,46 @@ def epoch(column: Column) -> Column:
     return F.unix_seconds(column.cast("timestamp"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value that is computed once, however often `body` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def float_text(column: Column) -> Column:
     """Shortest decimal text of a float: plain for exponents -4 to 5, else d.ddde+NN; no trailing zeros.
 
-    Digits come from Spark's own text, so this stays inside code generation.
+    Digits come from Spark's own text, so no Python runs. Parts are bound one after the other, as they are used often.
     """
-    text = F.abs(column).cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    shift = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, fraction = F.substring_index(mantissa, ".", 1), F.regexp_extract(mantissa, r"\.(\d+)", 1)
-    every = F.concat(whole, fraction)
-    zeros = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
-    digits = F.trim(every, F.lit("0"))
-    point = F.length(whole) + shift - zeros  # where the decimal point stands, counted from the first digit
-    exponent = point - 1
-    size = F.length(digits)
-    scientific = F.concat(
-        F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), digits.substr(F.lit(2), size))).otherwise(""), F.lit("e"),
-        F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
-        .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, size)))
-    )
-    shown = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
-    minus = F.when(column.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(F.isnan(column), "NaN").when(text == "Infinity", F.when(column > 0, "+Inf").otherwise("-Inf")).when(column == 0, F.concat(minus, F.lit("0"))).otherwise(F.concat(minus, shown))
+    text = column.cast("string")
+
+    def digits_of(t: Column) -> Column:
+        size = F.substring_index(F.ltrim(t, F.lit("-")), "E", 1)
+        shift = F.when(t.contains("E"), F.substring_index(t, "E", -1).try_cast("int")).otherwise(0)
+        return F.struct(t.startswith("-").alias("minus"), F.substring_index(size, ".", 1).alias("whole"), F.substring_index(size, ".", -1).alias("fraction"), shift.alias("shift"))
+
+    def placed(p: Column) -> Column:
+        every = F.concat(p["whole"], p["fraction"])
+        point = F.length(p["whole"]) + p["shift"] - F.length(every) + F.length(F.ltrim(every, F.lit("0")))
+        return F.struct(p["minus"].alias("minus"), F.trim(every, F.lit("0")).alias("digits"), point.alias("point"))  # the decimal point stands after so many digits
+
+    def shown(p: Column) -> Column:
+        digits, point, size = p["digits"], p["point"], F.length(p["digits"])
+        exponent = point - 1
+        power = F.abs(exponent).cast("string")
+        scientific = F.concat(
+            F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), digits.substr(F.lit(2), size))).otherwise(""), F.lit("e"),
+            F.when(exponent < 0, "-").otherwise("+"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")),
+        )
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+            .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, size)))
+        )
+        number = F.when(size == 0, F.lit("0")).when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
+        return F.concat(F.when(p["minus"], "-").otherwise(""), number)
+
+    finite = _bound(text, lambda t: _bound(digits_of(t), lambda p: _bound(placed(p), shown)))
+    return F.when(F.isnan(column), "NaN").when(text == "Infinity", "+Inf").when(text == "-Infinity", "-Inf").otherwise(finite)
 
 
 def to_text(column: Column, kind: Kind, native: bool) -> Column:
