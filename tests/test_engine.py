@@ -191,3 +191,15 @@ def test_sketch_tolerance(spark):
     frame, _ = compile_select(parse("SELECT uniqState(id) AS u FROM t"), spark.range(50_000))
     merged, _ = compile_select(parse("SELECT uniqMerge(u) AS n FROM t"), frame.union(compile_select(parse("SELECT uniqState(id) AS u FROM t"), spark.range(20_000))[0]))
     assert abs(merged.first()[0] - 50_000) < 2500
+
+
+def test_command_line(catalog, capsys):
+    from tesserae.__main__ import main
+
+    catalog.sql("CREATE TABLE t (id Int64) ENGINE = MergeTree() ORDER BY id")
+    catalog.sql("INSERT INTO t VALUES (2), (1)")
+    assert main(["--data", catalog.files.root, "query", "SELECT id FROM t ORDER BY id", "--format", "CSV"]) == 0
+    assert capsys.readouterr().out.endswith("id\n1\n2\n")
+    main(["--data", catalog.files.root, "describe", "t"])
+    found = json.loads(capsys.readouterr().out)["data"]
+    assert [p["part"] for p in found] == ["all_1_1_0"] and json.loads(found[0]["bounds"]) == {"id": [1, 2]}
