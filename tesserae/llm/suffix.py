@@ -95,7 +95,7 @@ def _regions(named: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.asarray(batch.column(0))
-            for row, _, data, offs in chunks(batch.column(1)):
+            for row, _, data, offs in chunks(batch.column(1), CHUNK_BYTES // 2):
                 for piece, bounds, shift in _pieces(data, offs, length):
                     doc, start, windows, anchor, region = regions(piece, bounds, length, gram)
                     columns = [signed(anchor), signed(region), keys[row + doc], (start + shift).astype(np.int32), windows.astype(np.int32)]
@@ -111,7 +111,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     first = np.zeros(n, U64)
     for k in range(8):
         first = (first << U64(8)) | padded[k : k + n].astype(U64)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     head = np.ones(n, bool)
     head[1:] = first[order[1:]] != first[order[:-1]]
     rank = np.empty(n + 1, np.int64)
@@ -125,7 +125,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         where = order[tied]
         then = rank[np.minimum(where + span, n)] + 1
         key = (rank[where] << 32) | then
-        within = np.argsort(key, kind="stable")
+        within = np.argsort(key)
         where, key = where[within], key[within]
         order[tied] = where
         fresh = np.ones(len(tied), bool)
@@ -158,17 +158,18 @@ def short_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     for _ in range(length - 1):
         if not len(fresh):
             break
-        places = np.flatnonzero(found)
-        until = places[np.searchsorted(places, fresh, side="right")]
-        size = until - fresh
-        total = int(size.sum())
+        until = _next_boundary(found, fresh) if len(fresh) <= n // 16 else None
+        size = until - fresh if until is not None else None
+        total = int(size.sum()) if size is not None else n
         if total > n // 8:
             # Many: every row still waiting looks whether a fresh boundary lies between its prior row and itself.
             seen = np.zeros(n, np.int32)
             seen[fresh] = 1
             np.cumsum(seen, out=seen)
-            waiting = waiting[~found[lands[waiting]]]
-            hit = lands[waiting[seen[waiting] > seen[prior[waiting]]]]
+            between = seen[waiting] > seen[prior[waiting]]
+            hit = lands[waiting[between]]
+            hit = hit[~found[hit]]
+            waiting = waiting[~between]
         else:
             # Few: the rows from a fresh boundary to the next boundary whose prior row lies before it.
             step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
@@ -178,10 +179,29 @@ def short_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
             hit = lands[row[ok]]
             hit = hit[~found[hit]]
         found[hit] = True
-        fresh = np.unique(hit)
+        if len(hit) > n // 64:
+            mark = np.zeros(n, bool)
+            mark[hit] = True
+            fresh = np.flatnonzero(mark)
+        else:
+            fresh = np.unique(hit)
     return found[:n]
 
 
+def _next_boundary(found: np.ndarray, fresh: np.ndarray, near: int = 64) -> np.ndarray:
+    """The next boundary after each of `fresh`; most are a few rows away, the others are searched for."""
+    until = fresh + 1
+    live = np.flatnonzero(~found[until])
+    for _ in range(near):
+        if not len(live):
+            return until
+        until[live] += 1
+        live = live[~found[until[live]]]
+    places = np.flatnonzero(found)
+    until[live] = places[np.searchsorted(places, until[live])]
+    return until
+
+
 def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:
     """For each distinct region its repeated windows, as (first, last) pairs counted from the region's start."""
     size = np.array([len(b) for b in bodies], np.int64)
