@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm._store import stored
-from tesserae.llm._text import CHUNK_BYTES, U64, buffers, chunks, mix, prefix_sums, runs_of, signed, span_hash
+from tesserae.llm._text import CHUNK_BYTES, U64, buffers, chunks, mix, prefix_sums, signed, span_hash
 
 LENGTH = 200
 GRAM = 32
@@ -341,7 +341,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_r
     """(key, runs): of every text that holds repeated strings, the byte runs to remove; key is that of `_named`."""
     named = _named(docs)
     every = stored(_regions(named, length, gram), "suffix-regions")
-    shared = every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    # Written, so that the join stands alone in its stage and a hot anchor's side can be split.
+    shared = stored(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), "suffix-shared")
     repeats = stored(every.join(shared, "anchor"), "suffix-repeats")
     first = F.min(F.struct("key", "start", "windows")).alias("rep")
     distinct = stored(repeats.groupBy("anchor", "region").agg(F.count("*").alias("weight"), first).select("anchor", "region", "weight", "rep.*"), "suffix-distinct")
