@@ -187,6 +187,15 @@ def test_language_model_tail_join(docs, monkeypatch):
     assert all(np.isfinite(r["score"]) for r in after.values())
 
 
+def test_language_model_keeps_every_pair_past_the_broadcast(docs, monkeypatch):
+    before = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "MOST_FILTER_BYTES", 1)
+    monkeypatch.setattr(lm, "CHUNK_TEXT", 3000)
+    monkeypatch.setattr(lm, "PROBE_KEYS", 50)
+    after = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    assert after == pytest.approx(before, rel=1e-9)
+
+
 def test_language_model_empty(empty):
     assert lm.score_documents(empty).count() == 0
 
