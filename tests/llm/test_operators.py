@@ -196,6 +196,18 @@ def test_language_model_keeps_every_pair_past_the_broadcast(docs, monkeypatch):
     assert after == pytest.approx(before, rel=1e-9)
 
 
+def test_language_model_counts_pairs_of_tuning_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TUNE_SHARE", 2)
+    frame = spark.createDataFrame([(i, f"common words {i} stand here") for i in range(40)], "doc_id long, text string")
+    kept, build = [], lm._build
+    monkeypatch.setattr(lm, "_build", lambda rows, *more: (kept.append(rows), build(rows, *more))[1])
+    scored = lm.score_documents(frame).collect()
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2}
+    asked = [lm.pair_key(*lm.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1::-1]) for t in (f"common words {i} stand here".encode() for i in range(40) if i not in held)]
+    found = build(kept[-1], 4).levels(1, np.unique(np.concatenate(asked)))
+    assert len(scored) == 40 and (found > 0).all()
+
+
 def test_language_model_empty(empty):
     assert lm.score_documents(empty).count() == 0
 
