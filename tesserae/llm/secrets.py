@@ -2,7 +2,9 @@
 
 Two bigram models over a small alphabet, one of random strings and one of ordinary identifiers, are trained from
 labelled samples. A run of key characters whose mean log-likelihood ratio (bits a transition, random against
-ordinary) is above a threshold is reported as kind `markov`, unless it touches a span of a fixed pattern.
+ordinary) is above a threshold in the whole or in any stretch of LEAST_STRETCH characters or more is reported as
+kind `markov`, unless it touches a span of a fixed pattern. So ordinary words around a key do not hide it; the span
+is the whole run, as the span of an assignment has its name in it.
 
 Spark has no function for the places of all matches, so they follow from the lengths of what lies between them
 (`split` with the same pattern). Places count code points; ends are exclusive.
@@ -37,6 +39,8 @@ default public private static final class method function module package import
 thread worker task job stage batch stream record document text token label source target weight size length width height""".split()
 #: Bits a transition above which a candidate is taken for random.
 THRESHOLD = 1.0
+#: Characters of the shortest stretch of a candidate that is judged alone.
+LEAST_STRETCH = 20
 #: Counts of the overall frequencies that are mixed into those after each character.
 PRIOR = 5
 #: Labelled rows of each class that the model is fitted on: a bounded sample.
@@ -63,7 +67,7 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_RO
     words = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(rows)
     common = spark.createDataFrame([(" ".join(COMMON_WORDS),)], "all string").select(F.split("all", " ").alias("all"))
     common = common.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    joined = common.select(F.explode(F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat("a", "b"), F.upper(F.concat_ws("_", "a", "b")))), F.lit(False))
+    joined = common.select(F.explode(F.array(F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat("a", "b"), F.upper(F.concat_ws("_", "a", "b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.concat_ws("=", "a", "b"))), F.lit(False))
     written = words.select(F.explode(F.array(F.col("w"), F.upper("w"), F.concat_ws("_", "w", F.lower("w")), F.concat("w", F.initcap("w")))), F.lit(False))
     return noise.union(written).union(joined)
 
@@ -120,8 +124,13 @@ def scan_secrets(docs: DataFrame, model: list[float] | None, threshold: float =
         table = f"from_json('{json.dumps(model)}', 'array<double>')"
         apart = "NOT exists(base, b -> b.start < x.end AND x.start < b.end)"
         states = _pairs_sql("substring(_t, x.start + 1, x.end - x.start)")
-        ratio = f"aggregate({states}, named_struct('p', -1, 's', 0D), (a, c) -> named_struct('p', c, 's', a.s + CASE WHEN a.p < 0 THEN 0D ELSE {table}[a.p * {k} + c] END), a -> a.s)"
-        out = found.withColumn("_markov", F.expr(f"filter(_c, x -> {apart} AND {ratio} > {threshold} * (x.end - x.start - 1))"))
+        # s and l are the sums of what exceeds the threshold up to a transition and up to LEAST_STRETCH - 1 before it, m the least l.
+        excess = f"transform(c, (x, i) -> CASE WHEN i = 0 THEN 0D ELSE {table}[c[i - 1] * {k} + x] - {threshold}D END)"
+        lag = LEAST_STRETCH - 1
+        step = f"named_struct('s', a.s + e[i], 'l', a.l + IF(i >= {lag}, e[i - {lag}], 0D), 'm', IF(i >= {lag}, least(a.m, a.l + e[i - {lag}]), a.m), 'b', IF(i >= {lag}, greatest(a.b, a.s + e[i] - least(a.m, a.l + e[i - {lag}])), a.b))"
+        best = f"transform(array({excess}), e -> aggregate(sequence(0, size(e) - 1), named_struct('s', 0D, 'l', 0D, 'm', 0D, 'b', double('-inf')), (a, i) -> {step}, a -> a.b))[0]"
+        above = f"transform(array({states}), c -> {best})[0] > 0"
+        out = found.withColumn("_markov", F.expr(f"filter(_c, x -> {apart} AND {above})"))
     out = out.withColumn("spans", F.array_sort(F.concat("base", "_markov")))
     return out.drop("_t", "_c", "_markov", *[f"_{k}" for k in PATTERNS])
 

@@ -273,6 +273,17 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.scan_secrets(frame, None).count() == frame.count()
 
 
+def test_secret_glued_to_words(spark, docs):
+    key = "Zq8vN2xLpR7tYw3KbD5mHs9C"
+    glued = [f"production_customer_service_access_key={key}", f"{key}_production_customer_service_access_number", f"customer/address/version/{key}/customer/address/version"]
+    plain = ["production_customer_service_access_key_default_value", "customer/address/version/language/country/number"]
+    frame = spark.createDataFrame(list(enumerate(glued + plain)), "doc_id int, text string")
+    scanned = secrets.scan_secrets(frame, secrets.train(secrets.labelled_samples(spark, docs, 3000)))
+    found = [r["s"] for r in scanned.select("doc_id", secrets.span_text(F.col("spans")).alias("s")).orderBy("doc_id").collect()]
+    assert found == [*(f"markov:0:{len(t)}" for t in glued), "", ""]
+    assert all(key not in r["text"] for r in secrets.redact(scanned).collect())
+
+
 def water_fill(size, weight, cap, budget):
     target, free, left = {}, set(size), budget
     while free:
