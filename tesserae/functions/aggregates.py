@@ -17,6 +17,10 @@ PLAIN = ("count", "sum", "min", "max", "avg", "uniq", "sumstate", "summerge", "u
 RANKED = ("quantiles", "topk")
 NAMES = frozenset(PLAIN + RANKED)
 UNSIGNED = Kind("UInt64")
+#: Ranks (as a share) to each side of a quantile between which its bounds lie, and the accuracy of the sketch that gives them.
+MARGIN, ACCURACY = 0.01, 2000
+#: Values of a group below which it is ranked as a whole, as MARGIN of it would be a rank or two.
+SMALL = 400
 #: log2 of the registers of a distinct-count sketch.
 SKETCH_BITS = 12
 
@@ -71,28 +75,83 @@ def column_of(a: Aggregate) -> Column:
     return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(a.text, F.lit(SKETCH_BITS))), F.lit(0))
 
 
-def ranked(rows: DataFrame, keys: list[str], a: Aggregate, value: str, shown: str) -> DataFrame:
-    """(keys, result) of a quantile or of top values, from counts of distinct values.
+def _same(left: list[str], right: list[str]) -> Column:
+    """Equality of key columns, by place, where null equals null."""
+    on = F.col(f"`{left[0]}`").eqNullSafe(F.col(f"`{right[0]}`"))
+    for a, b in zip(left[1:], right[1:], strict=True):
+        on = on & F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))
+    return on
 
-    Rows are pre-aggregated by key and value before anything is ordered, and windows spill: no group is held as one
-    array. `value` and `shown` name the argument and its text in `rows`.
+
+def beside(base: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """`base` with the other columns of `found`, which has one row a group; a group that `found` lacks gets nulls."""
+    if not keys:  # one row each
+        return base.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    named = [f"_k{i}" for i in range(len(keys))]
+    renamed = found.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, named, strict=True)], *[F.col(f"`{c}`") for c in found.columns if c not in keys])
+    return base.join(renamed, _same(keys, named), "left").drop(*named)
+
+
+def level(a: Aggregate) -> float:
+    return a.parameter if a.parameter is not None and 0 < a.parameter < 1 else 0.5
+
+
+def quantiles(rows: DataFrame, keys: list[str], found: list[Aggregate]) -> DataFrame:
+    """(keys, _q0, _q1, ...): exact quantiles from two scans of `rows`, whatever their number; null without numbers.
+
+    The first scan makes mergeable sketches, whose values at MARGIN below and above the wanted rank surely enclose it,
+    as their rank error is a small part of MARGIN. In the second, only values between the two are told apart; smaller
+    and greater ones are a count each, which map-side aggregation makes. So a hot group is neither shuffled nor sorted
+    as a whole. That the rank lies between the two values is checked.
     """
-    if a.function == "quantiles":
+    numbers = list(range(len(found)))
+    quoted = [F.col(f"`{k}`") for k in keys]
+    for a in found:
         if not a.kind.is_numeric:
             raise DialectError("quantiles takes numbers")
-        level = a.parameter if a.parameter is not None and 0 < a.parameter < 1 else 0.5
-        counts = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-        group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-        upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))
-        placed = counts.withColumn("_upto", upto).withColumn("_at", F.floor(F.lit(level) * (F.sum("_n").over(group) - 1)))
-        hit = placed.where("_upto > _at AND _upto - _n <= _at")
-        return hit.select(*keys, F.col("_v").alias(a.name))
-    most = int(a.parameter) if a.parameter is not None and int(a.parameter) > 0 else 10
-    counts = rows.groupBy(*keys, F.col(shown).alias("_v")).agg(F.count("*").alias("_n"))
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    best = counts.withColumn("_at", F.row_number().over(group.orderBy(F.desc("_n"), "_v"))).where(F.col("_at") <= most)
-    listed = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_l"))
-    return listed.select(*keys, F.array_join(F.transform("_l", lambda x: x["_v"]), ",").alias(a.name))
+    values = rows.select(*quoted, *[a.arg.cast("double").alias(f"_v{i}") for i, a in enumerate(found)])
+    sketches = []
+    for i, a in enumerate(found):
+        at = F.array(F.lit(max(0.0, level(a) - MARGIN)), F.lit(min(1.0, level(a) + MARGIN)))
+        finite = F.when(F.isnan(f"_v{i}"), F.lit(float("inf"))).otherwise(F.col(f"_v{i}"))  # NaN is the greatest value
+        sketches += [F.percentile_approx(finite, at, ACCURACY).alias(f"_s{i}"), F.count(f"_v{i}").alias(f"_n{i}")]
+    bounds = values.groupBy(*quoted).agg(*sketches)
+    for i in numbers:
+        for k, (name, end) in enumerate((("lo", float("-inf")), ("hi", float("inf")))):
+            bounds = bounds.withColumn(f"_{name}{i}", F.when(F.col(f"_n{i}") < SMALL, F.lit(end)).otherwise(F.col(f"_s{i}")[k]))
+    bounds = bounds.drop(*[f"_{x}{i}" for i in numbers for x in "sn"])
+    picked = []
+    for i in numbers:
+        v, lo, hi = (F.col(f"_{x}{i}") for x in "v lo hi".split())
+        side = F.when(v.isNull(), -1).when(v < lo, 0).when((v <= hi) | (hi == float("inf")), 1).otherwise(2)
+        picked.append(F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 1, v).alias("v")))
+    one_each = picked[0] if len(found) == 1 else F.explode(F.array(*picked))
+    listed = beside(values, bounds, keys).select(*quoted, one_each.alias("_p")).select(*quoted, "_p.*")
+    counts = listed.groupBy(*quoted, "i", "side", "v").agg(F.count("*").alias("_c"))
+    number = F.when(F.col("side") >= 0, F.col("_c")).otherwise(0)
+    group = W.partitionBy(*quoted, "i")
+    upto = F.sum(number).over(group.orderBy("side", "v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counts.withColumn("_upto", upto).withColumn("_at", F.floor(F.element_at(F.array(*[F.lit(level(a)) for a in found]), F.col("i") + 1) * (F.sum(number).over(group) - 1)))
+    hit = (F.col("side") >= 0) & (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))
+    value = F.when(F.col("side") != 1, F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")).otherwise(F.col("v"))
+    chosen = ranked.withColumn("v", F.when(hit, value))
+    return chosen.groupBy(*quoted).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"_q{i}") for i in numbers])
+
+
+def tops(rows: DataFrame, keys: list[str], found: list[Aggregate]) -> DataFrame:
+    """(keys, _t0, _t1, ...): the most frequent values of all `found`, comma-joined, from one scan.
+
+    Counts are pre-aggregated by key and value; the rank filter is pushed below the shuffle (a group limit), so each
+    task hands on no more than the top values of a group.
+    """
+    quoted = [F.col(f"`{k}`") for k in keys]
+    most = [int(a.parameter) if a.parameter is not None and int(a.parameter) > 0 else 10 for a in found]
+    shown = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), a.text.alias("v")) for i, a in enumerate(found)]))
+    counts = rows.select(*quoted, shown.alias("_p")).groupBy(*quoted, F.col("_p.i").alias("i"), F.col("_p.v").alias("v")).agg(F.count("*").alias("_c"))
+    place = F.row_number().over(W.partitionBy(*quoted, "i").orderBy(F.desc("_c"), "v"))
+    best = counts.withColumn("_at", place).where(F.col("_at") <= max(most)).where(F.col("_at") <= F.element_at(F.array(*map(F.lit, most)), F.col("i") + 1))
+    parts = [F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("_at", "v")))) for i in range(len(found))]
+    return best.groupBy(*quoted).agg(*[F.array_join(F.transform(x, lambda p: p["v"]), ",").alias(f"_t{i}") for i, x in enumerate(parts)])
 
 
 def empty_value(a: Aggregate) -> Column:

@@ -163,19 +163,19 @@ def _grouped(rows: DataFrame, s: Select, scope: Scope) -> tuple[DataFrame, dict[
     if not found:
         return rows.select(*quoted).distinct(), kinds
     plain = [aggregates.column_of(a).alias(a.name) for a in found if a.function in aggregates.PLAIN]
-    base = rows.groupBy(*quoted).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
-    for k, a in enumerate(x for x in found if x.function in aggregates.RANKED):
-        part = aggregates.ranked(rows.withColumn("_arg", a.arg).withColumn("_text", a.text), keys, a, "_arg", "_text")
-        if keys:
-            renamed = part.select(*[F.col(f"`{x}`").alias(f"_k{k}_{i}") for i, x in enumerate(keys)], F.col(f"`{a.name}`"))
-            on = None
-            for i, x in enumerate(keys):
-                same = F.col(f"`{x}`").eqNullSafe(F.col(f"_k{k}_{i}"))
-                on = same if on is None else on & same
-            base = base.join(renamed, on, "left")
-        else:  # one row each
-            base = base.withColumn("_one", F.lit(1)).join(part.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-        base = base.withColumn(a.name, F.coalesce(F.col(f"`{a.name}`"), aggregates.empty_value(a)))
+    placed = [a for a in found if a.function == "quantiles"]
+    tops = [a for a in found if a.function == "topk"]
+    parts = [rows.groupBy(*quoted).agg(*plain)] if plain else []
+    if placed:
+        parts.append(aggregates.quantiles(rows, keys, placed))
+    if tops:
+        parts.append(aggregates.tops(rows, keys, tops))
+    base = parts[0]  # each part has every group
+    for part in parts[1:]:
+        base = aggregates.beside(base, part, keys)
+    for several, prefix in ((placed, "_q"), (tops, "_t")):
+        for i, a in enumerate(several):
+            base = base.withColumn(a.name, F.coalesce(F.col(f"{prefix}{i}"), aggregates.empty_value(a)))
     return base.select(*[F.col(f"`{n}`") for n in names]), kinds
 
 

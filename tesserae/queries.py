@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
+from http.client import HTTPConnection
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.plans.compiler import compile_select
 from tesserae.plans.parser import parse
+from tesserae.sources.background import Compactor
 from tesserae.sources.catalog import Catalog
+from tesserae.sources.formats import render
 from tesserae.sources.scratch import scratch
+from tesserae.sources.server import serve
+from tesserae.types import DialectError
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,3 +265,229 @@ def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["describe"] = _part_rows
 ORACLE_SQL["describe"] = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(4 AS BIGINT) AS parts FROM events UNION ALL SELECT CAST(count(*) AS BIGINT), CAST(1 AS BIGINT) FROM events"
+
+
+# Literals, partition keys, order on write
+
+
+@_query("SELECT * FROM (VALUES (1::BIGINT, 0.123456789012345::DOUBLE, '1e-12'), (2, 0.000000000012::DOUBLE, ''), (3, 100000000000000000000000000000000.5::DOUBLE, '0.1'), (4, -7::DOUBLE, '-3')) AS x(id, f, s)")
+def insert_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (id Int64, f Float64, s String) ENGINE = MergeTree() ORDER BY id")
+    catalog.sql("INSERT INTO t VALUES (1, 0.123456789012345, '1e-12'), (2, 0.000000000012, ''), (3, 100000000000000000000000000000000.5, 0.1), (4, -7, -3)")
+    return catalog.sql("SELECT id, f, s FROM t")
+
+
+@_query("SELECT * FROM (VALUES ('', 3::BIGINT), ('/', 1), ('a=b', 1), ('eu', 1)) AS x(partition, n)")
+def insert_partition_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (id Int64, region String) ENGINE = MergeTree() ORDER BY id PARTITION BY region")
+    catalog.sql("INSERT INTO t VALUES (1, ''), (2, '/'), (3, 'eu')")
+    catalog.insert("t", spark.createDataFrame([(4, None), (5, ""), (6, "a=b")], "id long, region string"))
+    rows = catalog.sql("SELECT region, count(*) AS n FROM t GROUP BY region").withColumnRenamed("region", "partition")
+    parts = catalog.describe("t").groupBy("partition").agg(F.sum("rows").alias("rows"))
+    return rows.join(parts, "partition").where("n = rows").select("partition", "n")
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS inversions, count(*) AS n FROM events")
+def sort_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours out of order in the files of all parts, in the order they stand there."""
+    catalog = _loaded(spark, sf_dir, "events", _EVENTS, 2, "event_id", _EVENT_COLUMNS)
+    paths = [p["path"] for p in catalog.table("t")["parts"]]
+    files = spark.read.option("mergeSchema", "false").parquet(*paths).select("user_id", "event_id", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag(F.struct("user_id", "event_id")).over(Window.partitionBy("file").orderBy("at"))
+    marked = files.withColumn("wrong", F.coalesce((before > F.struct("user_id", "event_id")).cast("long"), F.lit(0)))
+    return marked.agg(F.sum("wrong").alias("inversions"), F.count("*").alias("n"))
+
+
+# Pruning
+
+
+def _pruned(catalog: Catalog, text: str) -> DataFrame:
+    """The rows of a query with what its pruning counted."""
+    rows = catalog.sql(text)
+    return rows.withColumn("parts", F.lit(catalog.pruned["parts"])).withColumn("skipped", F.lit(catalog.pruned["skipped"]))
+
+
+@_query("SELECT * FROM (VALUES (1::BIGINT, 3, 1), (6, 3, 1)) AS x(id, parts, skipped)")
+def pruned_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (id Int64, f Float64) ENGINE = MergeTree() ORDER BY f")
+    for rows in ([(1, 5.0), (2, float("nan"))], [(3, 6.0), (4, 9.5)], [(5, -1.0), (6, 5.0)]):
+        catalog.insert("t", spark.createDataFrame(rows, "id long, f double"))
+    return _pruned(catalog, "SELECT id FROM t WHERE f = 5")
+
+
+@_query("SELECT event_id, CAST(3 AS INT) AS parts, CAST(2 AS INT) AS skipped FROM events WHERE event_id % 3 = 1 AND event_id < 300")
+def pruned_second_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second key column alone decides which parts are read."""
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (user_id UInt64, batch Int64, event_id Int64) ENGINE = MergeTree() ORDER BY (user_id, batch)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("batch", F.pmod("event_id", F.lit(3)))
+    for k in range(3):
+        catalog.insert("t", events.where(F.col("batch") == k).select("user_id", "batch", "event_id"))
+    return _pruned(catalog, "SELECT event_id FROM t WHERE batch = 1 AND event_id < 300")
+
+
+@_query("SELECT l_orderkey, TRUE AS pushed FROM lineitem WHERE l_orderkey < 100")
+def pruned_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inside a part, the filter reaches the scan of its sorted files, where row groups and pages are skipped."""
+    catalog = _loaded(spark, sf_dir, "lineitem", "CREATE TABLE t (l_orderkey Int64, l_tax Float64) ENGINE = MergeTree() ORDER BY l_orderkey", 1, "l_orderkey", ["l_orderkey", "l_tax"])
+    rows = catalog.sql("SELECT l_orderkey FROM t WHERE l_orderkey < 100")
+    pushed = "LessThan(l_orderkey,100)" in rows._jdf.queryExecution().executedPlan().toString()
+    return rows.withColumn("pushed", F.lit(pushed))
+
+
+# Statements, their errors, and what outlives a session
+
+
+@_query("SELECT * FROM (VALUES (0, 'OK'), (1, 'OK'), (2, 'error'), (3, 'error'), (4, 'error'), (5, 'OK'), (6, 'error'), (7, 'OK'), (8, 'OK'), (9, 'OK'), (10, 'OK. 1 rows inserted.'), (11, 'error'), (12, 'OK')) AS x(step, said)")
+def ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements = (
+        "CREATE TABLE a (id UInt64, s LowCardinality(String)) ENGINE = MergeTree() ORDER BY id", "CREATE TABLE b (s LowCardinality(String), n Int64) ENGINE = AggregatingMergeTree() ORDER BY s",
+        "CREATE TABLE a (id UInt64) ENGINE = MergeTree() ORDER BY id", "CREATE TABLE c (id UInt64) ENGINE = MergeTree() ORDER BY nope", "CREATE TABLE c (id Strange) ENGINE = MergeTree()",
+        "CREATE TABLE IF NOT EXISTS a (id UInt64) ENGINE = MergeTree()", "CREATE MATERIALIZED VIEW v TO nope AS SELECT s FROM a",
+        "CREATE MATERIALIZED VIEW v TO b AS SELECT s, count(*) AS n FROM a GROUP BY s", "CREATE MATERIALIZED VIEW IF NOT EXISTS v TO b AS SELECT s, count(*) AS n FROM a GROUP BY s",
+        "DROP TABLE IF EXISTS nope", "INSERT INTO a VALUES (1, 'x')", "DROP TABLE nope", "DROP TABLE a",
+    )
+    catalog, said = Catalog(spark, scratch(spark, "db")), []
+    for k, text in enumerate(statements):
+        try:
+            said.append((k, catalog.sql(text).first()[0]))
+        except DialectError:
+            said.append((k, "error"))
+    return spark.createDataFrame(said, "step int, said string")
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS s, CAST(0 AS BIGINT) AS rows, 'id,x' AS columns")
+def empty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (id UInt64, x Float64) ENGINE = MergeTree() ORDER BY id")
+    every = catalog.sql("SELECT * FROM t WHERE id > 3 ORDER BY id LIMIT 5")
+    return catalog.sql("SELECT count(*) AS n, sum(x) AS s FROM t").withColumn("rows", F.lit(every.count()).cast("long")).withColumn("columns", F.lit(",".join(every.columns)))
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second catalog over the same folder knows tables, parts and views, and goes on inserting."""
+    extra = (
+        "CREATE TABLE totals (event_type LowCardinality(String), n Int64, total Float64) ENGINE = AggregatingMergeTree() ORDER BY event_type",
+        "CREATE MATERIALIZED VIEW v TO totals AS SELECT event_type, count(*) AS n, sum(value) AS total FROM t GROUP BY event_type",
+    )
+    catalog = Catalog(spark, scratch(spark, "db"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*_EVENT_COLUMNS)
+    for text in (_EVENTS, *extra):
+        catalog.sql(text)
+    for k in range(2):
+        again = Catalog(spark, catalog.files.root)
+        again.insert("t", events.where(F.pmod("event_id", F.lit(2)) == k))
+    out = Catalog(spark, catalog.files.root).sql("SELECT event_type, sum(n) AS n, sum(total) AS total FROM totals GROUP BY event_type")
+    return out.select("event_type", F.col("n").cast("long").alias("n"), F.round("total", 4).alias("total"))
+
+
+@_query("SELECT * FROM (VALUES ('arithmetic on text', 'DialectError'), ('no such column', 'DialectError'), ('no such function', 'DialectError'), ('sum in WHERE', 'DialectError')) AS x(filter, raised)")
+def filter_raises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that cannot be evaluated is an error; no row is dropped silently."""
+    out = []
+    for name, condition in {"arithmetic on text": "r_name + 1 > 2", "no such column": "nope = 1", "no such function": "lower(r_name) = 'x'", "sum in WHERE": "sum(r_regionkey) > 1"}.items():
+        try:
+            run_text(spark, sf_dir, f"SELECT r_name FROM region WHERE {condition}").collect()
+        except Exception as e:  # noqa: BLE001
+            out.append((name, type(e).__name__))
+    return spark.createDataFrame(out, "filter string, raised string")
+
+
+# Formats and HTTP
+
+
+def _lines(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    select = parse("SELECT r_regionkey, r_name, r_regionkey / 4 AS f FROM region ORDER BY r_regionkey")
+    frame, kinds = compile_select(select, spark.read.parquet(f"{sf_dir}/region.parquet"))
+    return spark.createDataFrame(list(enumerate("".join(render(frame, kinds, form)).splitlines())), "line int, text string")
+
+
+_ROW_LINES = "SELECT CAST(0 AS INT) AS line, {head} AS text UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INT), {row} FROM region"
+_SHORT = "CASE WHEN r_regionkey % 4 = 0 THEN CAST(r_regionkey // 4 AS VARCHAR) ELSE CAST(r_regionkey / 4 AS VARCHAR) END"
+
+
+@_query(_ROW_LINES.format(head="concat_ws(chr(9), 'r_regionkey', 'r_name', 'f')", row=f"concat_ws(chr(9), r_regionkey, r_name, {_SHORT})"))
+def fmt_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "TabSeparated")
+
+
+@_query(_ROW_LINES.format(head="'r_regionkey,r_name,f'", row=f"concat_ws(',', r_regionkey, concat(chr(34), r_name, chr(34)), {_SHORT})"))
+def fmt_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, "CSV")
+
+
+@_query("SELECT r_regionkey, r_name, r_regionkey / 4 AS f, (SELECT count(*) FROM region) AS rows, 'Int32,String,Float64' AS types FROM region")
+def fmt_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON text of a result, read back by Spark."""
+    text = "\n".join(r["text"] for r in _lines(spark, sf_dir, "JSON").orderBy("line").collect())
+    schema = "meta array<struct<name string, type string>>, data array<struct<r_regionkey long, r_name string, f double>>, rows long"
+    read = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", schema).alias("j"))
+    return read.select(F.explode("j.data").alias("d"), "j.rows", F.array_join(F.transform("j.meta", lambda m: m["type"]), ",").alias("types")).select("d.*", "rows", "types")
+
+
+@_query(
+    "SELECT * FROM (VALUES ('ping', 200, 'text/plain', 'Ok.'), ('create', 200, 'text/plain', 'OK'), ('insert', 200, 'text/plain', 'OK. 2 rows inserted.'), ('rows', 200, 'text/csv', 'id|1|2'),"
+    " ('default', 200, 'text/tab-separated-values', 'count(*)|2'), ('empty', 200, 'text/plain', ''), ('unreadable', 400, 'text/plain', NULL), ('unknown', 500, 'text/plain', NULL)) AS x(request, status, type, body)"
+)
+def http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the server answers to each kind of request; the text of errors is left open."""
+    server = serve(Catalog(spark, scratch(spark, "db")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    asked = {
+        "ping": ("ping", ""), "create": ("", "CREATE TABLE t (id UInt64) ENGINE = MergeTree ORDER BY id"), "insert": ("", "INSERT INTO t VALUES (2), (1)"), "rows": ("?format=CSV", "SELECT id FROM t ORDER BY id"),
+        "default": ("?query=" + quote("SELECT count(*) FROM t"), ""), "empty": ("?format=JSON", "SELECT id FROM t WHERE id > 5"), "unreadable": ("", "SELEC"), "unknown": ("", "SELECT x FROM t"),
+    }
+    out = []
+    try:
+        for name, (path, body) in asked.items():
+            link = HTTPConnection("127.0.0.1", server.server_port)
+            link.request("POST" if body else "GET", f"/{path}", body.encode() or None)
+            answer = link.getresponse()
+            text = answer.read().decode()
+            out.append((name, answer.status, answer.headers["Content-Type"].split(";")[0], "|".join(text.splitlines()) if answer.status == 200 else None))
+            link.close()
+    finally:
+        server.shutdown()
+    return spark.createDataFrame(out, "request string, status int, type string, body string")
+
+
+# Merges beside queries
+
+
+@_query("SELECT event_id, CAST(user_id AS BIGINT) AS user_id, TRUE AS fewer FROM events")
+def compaction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A background step merges; its rows are those of the parts before."""
+    catalog = _loaded(spark, sf_dir, "events", _EVENTS, 4, "event_id", _EVENT_COLUMNS)
+    before = catalog.describe("t").count()
+    loop = Compactor(catalog, 0.05)
+    loop.start()
+    until = time.monotonic() + 120
+    while not loop.merged and time.monotonic() < until:
+        time.sleep(0.05)
+    loop.stop()
+    return catalog.sql("SELECT event_id, user_id FROM t").withColumn("user_id", F.col("user_id").cast("long")).withColumn("fewer", F.lit(catalog.describe("t").count() < before))
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, '202401_1_3_1' AS part FROM events WHERE event_id < 30")
+def merge_keeps_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collapse sums the column that the partition expression reads; the part stays where its sources were."""
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (id Int64, ts DateTime) ENGINE = AggregatingMergeTree() ORDER BY id PARTITION BY toYYYYMM(ts)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 30").select(F.col("event_id").alias("id"), F.lit(1704067200).alias("ts"))
+    for _ in range(3):
+        catalog.insert("t", events)
+    catalog.optimize("t")
+    return catalog.sql("SELECT count(*) AS n FROM t").withColumn("part", F.lit(catalog.describe("t").first()["part"]))
+
+
+@_query("SELECT 'event_id' AS column, 'SNAPPY' AS codec, count(*) AS n_values, CAST(min(event_id) AS VARCHAR) AS least, CAST(max(event_id) AS VARCHAR) AS greatest FROM events")
+def part_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark, scratch(spark, "db"))
+    catalog.sql("CREATE TABLE t (event_id Int64, value Float64) ENGINE = MergeTree() ORDER BY event_id")
+    catalog.insert("t", spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"))
+    chunks = catalog.dump("t", catalog.describe("t").first()["part"]).where("column = 'event_id'")
+    return chunks.groupBy("column", "codec").agg(F.sum("n_values").alias("n_values"), F.min(F.col("least").cast("long")).cast("string").alias("least"), F.max(F.col("greatest").cast("long")).cast("string").alias("greatest"))

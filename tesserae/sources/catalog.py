@@ -8,11 +8,13 @@ version is not disturbed. Only driver-side metadata is held here: rows stay in S
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +26,9 @@ from tesserae.sources.files import Files
 from tesserae.sources.pruning import may_match, referenced
 from tesserae.types import DialectError, Kind, kind_named, wrapping_cast
 
+_log = logging.getLogger(__name__)
 ROW = "_row"  # a row's place in its part
+PREFIX = "p"  # of partition ids in folder names, where an empty name would be read as null
 KEEP_VERSIONS = 20
 
 
@@ -43,6 +47,24 @@ def _plain(value):  # noqa: ANN001, ANN202
     return int(value) if value is not None and not isinstance(value, (str, float, int)) else value
 
 
+def _literal(value: int | float | str, kind: Kind) -> tuple[str | None, float | None, Decimal | None]:
+    """A literal as text, float or 64-bit whole number, as its column takes it without loss."""
+    if isinstance(value, str):
+        return value, None, None
+    if kind.is_string:
+        return f"{value:.15g}" if isinstance(value, float) else str(value), None, None
+    if isinstance(value, float) or kind.is_float or kind.is_state:
+        return None, float(value), None
+    return None, None, Decimal(value % (1 << 64))  # wrapping to a narrower width later gives the same
+
+
+def _filled(column: Column, kind: Kind) -> Column:
+    """The dialect has no nulls: an empty text or 0 stands for one."""
+    if kind.is_string:
+        return F.coalesce(column, F.lit(""))
+    return column if kind.is_state and kind.state != "sum" else F.coalesce(column, F.lit(0).cast(kind.spark))
+
+
 class Catalog:
     """Statements against one database folder."""
 
@@ -126,7 +148,7 @@ class Catalog:
             }
 
         self.commit(change)
-        return "OK."
+        return "OK"
 
     def create_view(self, s: CreateView) -> str:
         for name in (s.select.table, s.target):
@@ -140,12 +162,12 @@ class Catalog:
             state["views"][s.name] = {"source": s.select.table, "target": s.target, "select": select_text(s.select)}
 
         self.commit(change)
-        return "OK."
+        return "OK"
 
     def drop_table(self, name: str, if_present: bool = False) -> str:
         if name not in self.manifest()["tables"]:
             if if_present:
-                return "OK."
+                return "OK"
             raise DialectError(f"unknown table {name}")
 
         def change(state: dict) -> None:
@@ -154,7 +176,7 @@ class Catalog:
 
         self.commit(change)
         self.files.delete(self.files.at(name))
-        return "OK."
+        return "OK"
 
     def insert_values(self, s: Insert) -> str:
         table = self.table(s.table)
@@ -164,19 +186,20 @@ class Catalog:
             raise DialectError(f"INSERT gives every column of {s.table}: {', '.join(kinds)}")
         if any(len(r) != len(columns) for r in s.rows):
             raise DialectError("a row has another number of values than columns")
-        out = []
-        for k, name in enumerate(columns):
-            kind = kinds[name]
-            values = [r[k] for r in s.rows]
-            if kind.is_state and kind.state != "sum":
+        for name in columns:
+            if kinds[name].is_state and kinds[name].state != "sum":
                 raise DialectError(f"{name} holds states; fill it from a view")
-            out.append(values)
-        rows = [tuple(str(v) for v in r) for r in zip(*out, strict=True)]
-        frame = self.spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in columns]))
-        typed = [(F.col(f"`{n}`") if all(isinstance(v, str) for v in vs) else F.col(f"`{n}`").cast("decimal(38,10)" if any(isinstance(v, float) for v in vs) else "decimal(38,0)")) for n, vs in zip(columns, out, strict=True)]
-        source = [kind_named("String" if all(isinstance(v, str) for v in vs) else "Float64" if any(isinstance(v, float) for v in vs) else "Int64") for vs in out]
-        cast = [wrapping_cast(c.cast("double") if k.is_float else c, k, kinds[n]).alias(n) for c, k, n in zip(typed, source, columns, strict=True)]
-        return f"OK. {self.insert(s.table, frame.select(*cast).select(*[F.col(f'`{n}`') for n in kinds]))} rows inserted."
+        fields, rows = [], []
+        for k, name in enumerate(columns):
+            fields += [T.StructField(f"{form}{k}", kind) for form, kind in (("s", T.StringType()), ("f", T.DoubleType()), ("i", T.DecimalType(20, 0)))]
+        for r in s.rows:
+            rows.append(tuple(v for name, value in zip(columns, r, strict=True) for v in _literal(value, kinds[name])))
+        frame = self.spark.createDataFrame(rows, T.StructType(fields))
+        cast = {}
+        for k, name in enumerate(columns):
+            forms = [(F.col(f"{form}{k}"), kind_named(kind)) for form, kind in (("s", "String"), ("f", "Float64"), ("i", "UInt64"))]
+            cast[name] = F.coalesce(*[F.when(c.isNotNull(), wrapping_cast(c, kind, kinds[name])) for c, kind in forms]).alias(name)
+        return f"OK. {self.insert(s.table, frame.select(*[cast[n] for n in kinds]))} rows inserted."
 
     # Rows
 
@@ -195,7 +218,7 @@ class Catalog:
         if missing:
             raise DialectError(f"INSERT lacks {', '.join(missing)}")
         typed = {n: scope.get(n) for n in kinds}
-        shaped = rows.select(*[wrapping_cast(t.number if t.native else t.column, t.kind, kinds[n]).alias(n) for n, t in typed.items()])
+        shaped = rows.select(*[_filled(wrapping_cast(t.number if t.native else t.column, t.kind, kinds[n]), kinds[n]).alias(n) for n, t in typed.items()])
         written = {name: [self._write(name, table, shaped)]}
         source = written[name][0]["frame"]
         for view in state["views"].values():
@@ -206,7 +229,7 @@ class Catalog:
                 lacking = [n for n in goal if n not in made.columns]
                 if lacking:
                     raise DialectError(f"a view gives no {', '.join(lacking)}")
-                cast = made.select(*[wrapping_cast(F.col(f"`{n}`"), made_kinds[n], goal[n]).alias(n) for n in goal])
+                cast = made.select(*[_filled(wrapping_cast(F.col(f"`{n}`"), made_kinds[n], goal[n]), goal[n]).alias(n) for n in goal])
                 written.setdefault(view["target"], []).append(self._write(view["target"], target, cast))
 
         def change(new: dict) -> None:
@@ -223,27 +246,34 @@ class Catalog:
         self.commit(change)
         return sum(p["rows"] for p in written[name][0]["parts"])
 
-    def _write(self, name: str, table: dict, rows: DataFrame) -> dict:
+    def _write(self, name: str, table: dict, rows: DataFrame, pid: str | None = None) -> dict:
         """Writes rows as parts, one folder for each partition, each file sorted by the table's key.
 
-        The partition key is spread over files by Spark's writers; a large partition is several sorted files.
+        With `pid`, rows are of this one partition and in order already. Others are rebalanced by partition first: adaptive execution gives a large partition several tasks and puts small
+        ones together, so a partition has about as many files as its size asks for, whatever the number of tasks.
         """
-        staged = rows.withColumn("_pid", self._partition(table, rows, self.kinds(table)))
-        order = [F.col(f"`{n}`") for n in table["order"]]
         folder = self.files.at(name, f"p-{uuid.uuid4().hex}")
-        staged.withColumn(ROW, F.monotonically_increasing_id()).sortWithinPartitions("_pid", *order, ROW).write.partitionBy("_pid").parquet(folder)
+        if pid is not None:
+            escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(PREFIX + pid)
+            rows.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(f"{folder}/_pid={escaped}")
+        else:
+            text = self._partition(table, rows, self.kinds(table))
+            staged = rows.withColumn("_pid", F.concat(F.lit(PREFIX), text)).withColumn(ROW, F.monotonically_increasing_id())
+            order = [F.col(f"`{n}`") for n in table["order"]]
+            staged.hint("rebalance", "_pid").sortWithinPartitions("_pid", *order, ROW).write.partitionBy("_pid").parquet(folder)
         schema = T.StructType([T.StructField(n, k.spark) for n, k in self.kinds(table).items()] + [T.StructField(ROW, T.LongType()), T.StructField("_pid", T.StringType())])
+        folders = {self._unescaped(n[5:]): self.files.at(name, folder.rsplit("/", 1)[1], n) for n in self.files.names(folder) if n.startswith("_pid=")}
+        if not folders:
+            return {"parts": [], "frame": None}
         back = self.spark.read.schema(schema).parquet(folder)
         bounded = sorted(self._bounded(table))
         stats = [F.count(F.lit(1)).alias("rows")] + [f(F.col(f"`{n}`")).alias(f"{i}-{k}") for i, n in enumerate(bounded) for k, f in enumerate((F.min, F.max))]
-        found = back.groupBy("_pid").agg(*stats).collect()
-        folders = {n: self.files.at(name, folder.rsplit("/", 1)[1], n) for n in self.files.names(folder) if n.startswith("_pid=")}
-        by_id = {self._unescaped(n[5:]): p for n, p in folders.items()}
+        found = {r["_pid"]: r for r in back.groupBy("_pid").agg(*stats).collect()}
         parts = [
-            {"partition": r["_pid"], "path": by_id[r["_pid"]], "rows": r["rows"], "bytes": self.files.size(by_id[r["_pid"]]), "bounds": {n: [_plain(r[f"{i}-0"]), _plain(r[f"{i}-1"])] for i, n in enumerate(bounded)}}
-            for r in sorted(found, key=lambda r: r["_pid"])
+            {"partition": p[len(PREFIX) :], "path": path, "rows": found[p]["rows"], "bytes": self.files.size(path), "bounds": {n: [_plain(found[p][f"{i}-0"]), _plain(found[p][f"{i}-1"])] for i, n in enumerate(bounded)}}
+            for p, path in sorted(folders.items())
         ]
-        return {"parts": parts, "frame": back.drop(ROW, "_pid") if parts else None}
+        return {"parts": parts, "frame": back.drop(ROW, "_pid")}
 
     def _unescaped(self, text: str) -> str:
         return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(text)
@@ -256,10 +286,10 @@ class Catalog:
 
     @staticmethod
     def _bounded(table: dict) -> set[str]:
-        """Columns whose bounds are kept: those of the partition expression and the first of the key; no states."""
+        """Columns whose bounds are kept: those of the partition expression and of the key; no states."""
         partition = referenced(parse_expr(table["partition"])) if table["partition"] is not None else set()
         states = {n for n, k in table["columns"] if _kind(k).is_state}
-        return (partition | set(table["order"][:1])) - states
+        return (partition | set(table["order"])) - states
 
     def read(self, name: str, where: Expr | None = None) -> DataFrame:
         """The active rows of a table; parts that the filter cannot match are left out."""
@@ -279,6 +309,26 @@ class Catalog:
         rows = [(p["id"], p["partition"], p["min_block"], p["max_block"], p["level"], p["rows"], p["bytes"], json.dumps(p["bounds"])) for p in self.table(name)["parts"] if part in (None, p["id"])]
         return self.spark.createDataFrame(rows, "part string, partition string, min_block long, max_block long, level long, rows long, bytes long, bounds string")
 
+    def dump(self, name: str, part: str) -> DataFrame:
+        """One row for each column chunk of a part, from the footers of its files: codec, encodings, bytes, values, bounds."""
+        chosen = [p for p in self.table(name)["parts"] if p["id"] == part]
+        if not chosen:
+            raise DialectError(f"no active part {part} of {name}")
+        jvm, rows = self.spark._jvm, []
+        for file in sorted(n for n in self.files.names(chosen[0]["path"]) if n.endswith(".parquet")):
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f"{chosen[0]['path']}/{file}"), self.spark._jsc.hadoopConfiguration())
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            try:
+                for g, block in enumerate(reader.getFooter().getBlocks()):
+                    for chunk in block.getColumns():
+                        found = chunk.getStatistics()
+                        bounds = (found.minAsString(), found.maxAsString()) if found is not None and found.hasNonNullValue() else (None, None)
+                        encodings = ",".join(sorted(str(e.toString()) for e in chunk.getEncodings()))
+                        rows.append((file, g, block.getRowCount(), chunk.getPath().toDotString(), chunk.getCodec().toString(), encodings, chunk.getStartingPos(), chunk.getTotalSize(), chunk.getTotalUncompressedSize(), chunk.getValueCount(), *bounds))
+            finally:
+                reader.close()
+        return self.spark.createDataFrame(rows, "file string, row_group int, rows long, column string, codec string, encodings string, offset long, bytes long, plain_bytes long, n_values long, least string, greatest string")
+
     # Compaction
 
     def optimize(self, name: str) -> str | None:
@@ -294,7 +344,8 @@ class Catalog:
         kinds = self.kinds(table)
         if table["engine"].lower() == "aggregatingmergetree" and table["order"]:
             merged = compaction.collapse(merged, table["order"], kinds)
-        new = self._write(name, table, merged.orderBy(*[F.col(f"`{n}`") for n in table["order"]], "_block", ROW).select(*[F.col(f"`{n}`") for n in kinds]))["parts"]
+        ordered = merged.orderBy(*[F.col(f"`{n}`") for n in table["order"]], "_block", ROW).select(*[F.col(f"`{n}`") for n in kinds])
+        new = self._write(name, table, ordered, chosen[0]["partition"])["parts"]  # a collapse may change what the partition expression reads
         old = {p["id"] for p in chosen}
         first, last, level = chosen[0]["min_block"], chosen[-1]["max_block"], max(p["level"] for p in chosen) + 1
         made = [p | {"id": f"{p['partition']}_{first}_{last}_{level}", "min_block": first, "max_block": last, "level": level} for p in new]
@@ -308,6 +359,19 @@ class Catalog:
         self.commit(change)
         return made[0]["id"] if made else None
 
+    def optimize_step(self) -> dict[str, str]:
+        """At most one merge in every table; a table whose merge fails, or was overtaken, is left for the next step."""
+        out = {}
+        for name in self.manifest()["tables"]:
+            try:
+                made = self.optimize(name)
+            except Exception:  # noqa: BLE001
+                _log.exception("merge in %s", name)
+                continue
+            if made is not None:
+                out[name] = made
+        return out
+
     def optimize_all(self) -> dict[str, list[str]]:
         """Merges in every table until nothing is left to merge."""
         out: dict[str, list[str]] = {}
@@ -316,15 +380,19 @@ class Catalog:
                 out.setdefault(name, []).append(made)
         return out
 
-    def vacuum(self) -> int:
-        """Deletes folders of parts that no kept manifest names; returns how many."""
+    def vacuum(self, older_than: float = 0) -> int:
+        """Deletes folders of parts that no kept manifest names; returns how many.
+
+        With inserts running at the same time, `older_than` (seconds since the folder was last written) must exceed
+        what an insert may take between its writing and its commit.
+        """
         used = {p["path"] for v in self._versions() for t in json.loads(self.files.read(self.files.at("_manifest", f"v{v}.json")))["tables"].values() for p in t["parts"]}
         gone = 0
         for name in self.manifest()["tables"]:
             for folder in self.files.names(self.files.at(name)):
                 for part in self.files.names(self.files.at(name, folder)):
                     path = self.files.at(name, folder, part)
-                    if part.startswith("_pid=") and path not in used:
+                    if part.startswith("_pid=") and path not in used and (not older_than or self.files.age(path) > older_than):
                         self.files.delete(path)
                         gone += 1
         return gone

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -26,6 +28,10 @@ class Files:
     def size(self, path: str) -> int:
         return self.fs.getContentSummary(self._path(path)).getLength()
 
+    def age(self, path: str) -> float:
+        """Seconds since the file or folder was changed."""
+        return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
