@@ -178,6 +178,35 @@ def test_language_model(docs, rows_of):
         assert r["score"] < 0
 
 
+@pytest.mark.parametrize(("bits", "most", "error"), [(96, 1 << 26, 1e-9), (96, 1, 1e-9), (12, 1 << 26, 0.02)])
+def test_language_model_equals_exact_counts(docs, rows_of, monkeypatch, bits, most, error):
+    """With few false positives the scores are those of the quantised counts; with the usual bits they are close."""
+    held = {}
+    tune = lm._tune
+    monkeypatch.setattr(lm, "_tune", lambda model, *rest: (tune(model, *rest), held.update(model=model))[0])
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)
+    monkeypatch.setattr(lm, "MOST_FILTER_BYTES", most)
+    found = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    split = {i: WORD.findall(t.translate(LOWER)) + [None] for i, t in rows_of}
+    words, pairs = Counter(), Counter()
+    for i, _ in rows_of:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(split[i])
+            pairs.update(zip(["<begin>", *split[i]], split[i], strict=False))
+    middle = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    mass = sum(map(middle, words.values()))
+    off = []
+    for tokens_of, i in zip(split.values(), split, strict=True):
+        total = 0.0
+        for h, w in zip(["<begin>", *tokens_of], tokens_of, strict=False):
+            history = words[None if h == "<begin>" else h]
+            t = held["model"].weights[history.bit_length()]
+            follow = min(1.0, middle(pairs[h, w]) / middle(history)) if history else 0.0
+            total += log10(t * follow + (1 - t) * (middle(words[w]) + 1) / (mass + len(words) + 1))
+        off.append(abs(found[i] / total - 1))
+    assert max(off) < error if bits > 12 else np.mean(off) < error and np.mean([o > error for o in off]) < 0.2
+
+
 def test_language_model_tail_join(docs, monkeypatch):
     before = {r["doc_id"]: r["base_score"] for r in lm.score_documents(docs).collect()}
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
