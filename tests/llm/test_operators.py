@@ -241,6 +241,13 @@ def test_language_model_empty(empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_packed_keys():
+    rng = np.random.default_rng(2)
+    for keys in ([], [7], [5, 5], [0, 1 << 31], [3, (1 << 24) + 2], [3, (1 << 24) + 3], np.sort(rng.integers(0, 1 << 32, 5000)), [(1 << 32) - 1]):
+        keys = np.array(keys, np.uint32)
+        assert np.array_equal(lm.unpacked_keys(lm.packed_keys(keys)), keys)
+
+
 def test_filter_never_undercounts():
     rng = np.random.default_rng(3)
     keys = lm.mix(np.arange(2000, dtype=lm.U64))
