@@ -111,13 +111,64 @@ def test_embeddings_equal_brute_force(spark):
     for _ in range(len(x)):
         label = np.minimum(label, np.array([min([label[k], *label[linked[k]]]) for k in range(len(x))]))
     expected = {i: (int(linked[i].sum()), int(label[i])) for i in range(len(x))} | {1000 + k: (0, 1000 + k) for k in range(len(bad))}
-    for window in (256, 8):
-        found = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(frame, window=window, miss=1e-9).collect()}
+    for windows in ((256,), (8, 16)):
+        found = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(frame, windows=windows, miss=1e-6).collect()}
         assert {i: (r["n_links"], r["component_id"]) for i, r in found.items()} == expected
         assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
     assert embeddings.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0.0, 0.5, 0.8, 0.94])
+def test_embeddings_recall_in_a_cone(spark, crowd):
+    """Far more vectors than a window holds, at the usual miss rate: lone pairs just above the threshold are found."""
+    rng = np.random.default_rng(int(100 * crowd))
+    axis = np.eye(48)[0]
+    aside = rng.standard_normal((3000, 48)) / 48**0.5
+    base = crowd**0.5 * axis + (1 - crowd) ** 0.5 * aside
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.standard_normal((200, 48))
+    turn -= (turn * base[:200]).sum(axis=1, keepdims=True) * base[:200]
+    planted = 0.951 * base[:200] + (1 - 0.951**2) ** 0.5 * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.concatenate([base, planted])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    threshold = 0.95 if crowd < 0.9 else 0.951 - 1e-9
+    found = {r["vec_id"]: r for r in embeddings.near_duplicate_vectors(frame, threshold, windows=(32, 128)).collect()}
+    linked = x @ x.T >= threshold
+    np.fill_diagonal(linked, False)
+    has = linked.any(axis=1)
+    label = np.arange(len(x))
+    for _ in range(40):
+        label = np.minimum(label, np.where(linked, label[None, :], len(x)).min(axis=1))
+    assert has[:200].all() and not any(found[i]["n_links"] for i in np.flatnonzero(~has))
+    complete = [found[i]["n_links"] == linked[i].sum() and found[i]["component_id"] == label[i] for i in np.flatnonzero(has)]
+    assert np.mean(complete) > 0.99
+
+
+def test_embeddings_repeated_rows(spark):
+    v, w, u = [1.0, 0.0, 0.1], [1.0, 0.0, 0.11], [0.0, 1.0, 0.0]
+    rows = [(1, v, 1), (1, v, 2), (2, w, 3), (None, v, 4), (None, None, 5), (3, u, 6), (3, u, 7), (4, [2.0, 0.0, 0.2], 8)]
+    out = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, 2, 1, True)] * 2 + [(2, 2, 1, False), (4, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_embeddings_ties_at_the_threshold(spark):
+    """Cosines a rounding away from 0.95 are decided in double precision, in windows and in counts alike."""
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for k in range(60):
+        x = rng.standard_normal(16)
+        x /= np.linalg.norm(x)
+        side = rng.standard_normal(16)
+        side -= side @ x * x
+        c = 0.95 + (k % 3 - 1) * 1e-9
+        y = c * x + (1 - c * c) ** 0.5 * side / np.linalg.norm(side)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, y.tolist())]
+        if k % 3 != 1:
+            expected[2 * k] = int(k % 3 == 2)
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: found[i] for i in expected} == expected
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 5, 8])
 def test_interval_expansion(length):
     rng = random.Random(length)
@@ -255,7 +306,7 @@ def test_filter_never_undercounts():
     size = 64 * 600
     grid = np.zeros(size, np.uint8)
     for q in range(6):
-        for where in lm._positions(1, keys[level >= q].astype(np.uint32), q, size):
+        for where in lm._positions(1, lm.low_of(keys[level >= q], 4), q, size):
             grid[where.astype(int)] = 1
     held = lm.LogFrequencyFilter(4, [(b, size, np.packbits(grid, bitorder="little").tobytes()) for b in range(16)])
     found = held.levels(1, keys)
