@@ -459,8 +459,28 @@ def test_prefix_hashes():
         assert fingerprints.equal_spans(x, i, y, j, 5) == (i + 5 <= 400 and j + 5 <= 400 and a[i : i + 5] == b[j : j + 5])
 
 
-@pytest.mark.parametrize("block", [500, 7])
-def test_fingerprints(spark, texts, block):
+def plain_likeness(a, b):
+    """Common share by looking for every span of one text in the other."""
+    if not a or not b:
+        return float(a == b)
+    if min(len(a), len(b)) < fingerprints.SPAN:
+        same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return same / (len(a) + len(b) - same)
+    both = []
+    for x, y in ((a, b), (b, a)):
+        spans = {y[k : k + fingerprints.SPAN] for k in range(len(y) - fingerprints.SPAN + 1)}
+        covered = set()
+        for k in range(len(x) - fingerprints.SPAN + 1):
+            if x[k : k + fingerprints.SPAN] in spans:
+                covered.update(range(k, k + fingerprints.SPAN))
+        both.append(len(covered))
+    common = sum(both) / 2
+    return common / (len(a) + len(b) - common)
+
+
+@pytest.mark.parametrize(("block", "points"), [(500, 1 << 20), (7, 3000)])
+def test_fingerprints(spark, texts, monkeypatch, block, points):
+    monkeypatch.setattr(fingerprints, "BATCH_POINTS", points)
     rows = [(i * 3, t) for i, t in texts]
     out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block).collect()}
     ordered = sorted(((i, t or "") for i, t in rows), reverse=True)
@@ -471,14 +491,23 @@ def test_fingerprints(spark, texts, block):
         changed = t[: len(t) - half] + following[:half]
         r = out[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-        assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"] and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
         assert (r["near_next"] == 1) == (t == following)
-        grams = lambda s: {s[n : n + 24] for n in range(max(1, len(s) - 23))} if s else set()
-        if t and changed:
-            assert abs(r["near_edited"] - len(grams(t) & grams(changed)) / len(grams(t) | grams(changed))) < 0.3
+        for found, other in ((r["near_edited"], changed), (r["near_next"], following)):
+            expected = plain_likeness(t, other)
+            assert found == pytest.approx(expected, abs=1e-12 if min(len(t), len(other)) < fingerprints.SHORT else 0.05), (i, t, other)
     assert len(out) == len(rows) and len(set(by_text.values())) == len(by_text)
 
 
+def test_fingerprint_blocks(spark):
+    ids = [*range(0, 3000, 3), 1 << 62, -(1 << 62), *range(10**9, 10**9 + 50), 0, 0]
+    bounds = sorted({ids[k] for k in range(0, len(ids), 7)})
+    frame = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
+    for cut in (bounds, bounds[:1], [5], []):
+        for r in fingerprints._blocks(frame, cut).collect():
+            assert r["_block"] == (len(cut) - sum(b < r["doc_id"] for b in cut) if r["doc_id"] is not None else len(cut))
+
+
 def test_fingerprint_edges(spark, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
     rows = spark.createDataFrame([(None, "abc", 1), (5, "xyz", 1), (5, "abc", 1), (5, "abc", 1)], "doc_id long, text string, fingerprint int")
