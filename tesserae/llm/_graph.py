@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,30 @@ def star_edges(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def star_search(ids: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges as of `star_edges`, where linked(x, rows) tells which of `rows` link with row x.
+
+    A row is asked for only among rows that no component has yet, so a group that hangs together costs about one
+    comparison a row, not one a pair, and no matrix is held.
+    """
+    left = np.arange(len(ids))
+    out_a, out_b = [], []
+    while len(left):
+        members, left = [left[:1]], left[1:]
+        front = members[0].tolist()
+        while front and len(left):
+            hit = linked(front.pop(), left)
+            if hit.any():
+                members.append(left[hit])
+                front += left[hit].tolist()
+                left = left[~hit]
+        found = ids[np.concatenate(members)]
+        other = found[found != found.min()]
+        out_a.append(other)
+        out_b.append(np.full(len(other), found.min()))
+    return np.concatenate([ids[:0], *out_a]), np.concatenate([ids[:0], *out_b])
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Bounds of runs of equal keys: starts followed by the length."""
     n = len(keys[0])

@@ -6,11 +6,13 @@
    fewer than MATCHES shared values can match nobody. Of s shared values only the s - MATCHES + 1 rarest ones (the
    prefix, in one global order) are kept as lists: two sets that agree on MATCHES coordinates meet in one of them.
    Lists of very common values (a passage that many texts hold) so drop out, but for texts made of little else.
-3. Inside a list, agreeing coordinates are counted; pairs with at least MATCHES are candidates. Long lists are cut
+3. Inside a list, agreeing coordinates are counted by merging posting lists, of which the longest are skipped and only
+   looked up (`_agreeing`); pairs with at least MATCHES are candidates. Long lists are cut
    into block pairs (`block_pairs`), so no task grows with a list, and only a star over each unit's candidate
    components is put out, never its pairs.
 4. Components of candidates are small. The sets of each are compared in full (again in block pairs): a link needs
-   100 * intersection >= 75 * union. Components of the confirmed links are the result.
+   100 * intersection >= 75 * union. Components of the confirmed links are the result. A block is bounded in shingles
+   and in members, so a unit's memory is, whatever the component.
 
 A pair at the least similarity, 0.75, agrees on fewer than MATCHES of the COORDINATES with probability 4e-6.
 Sets meet in one candidate component whenever they would meet as a pair, so only such a miss loses a link.
@@ -18,7 +20,7 @@ Sets meet in one candidate component whenever they would meet as a pair, so only
 Defined cases: a text with fewer than WORDS words has its whole word sequence as one shingle; a null text or one
 without words has an empty set and links with nothing; rows of equal doc_id count as one document whose texts are
 linked through it; a row with a null doc_id is returned with its size, no component, and kept; an empty table
-gives no rows.
+gives no rows; other columns play no part, whatever their names; a pair right at the threshold links.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._graph import block_pairs, components, runs, star_edges
+from tesserae.llm._graph import block_pairs, components, runs, star_search
 from tesserae.llm._store import stored
 from tesserae.llm._text import U64, chunks, mix, signed, word_hashes
 
@@ -39,9 +41,11 @@ COORDINATES = 64
 MATCHES = 32
 #: The link condition: SHARE[0] * |A and B| >= SHARE[1] * |A or B|.
 SHARE = (100, 75)
-#: Members of a block in a posting list, and shingles of a block in a component of candidates.
+#: Members of a block in a posting list; shingles, and members, of a block in a component of candidates.
 LIST_BLOCK = 512
-SET_BLOCK = 1 << 19
+SET_BLOCK, SET_MEMBERS = 1 << 19, 1024
+#: Coordinates with the longest posting lists, which are not merged but looked up for what the others leave.
+SKIPPED = 16
 #: Candidates up to which their ids are broadcast to the second scan (16 bytes each); beyond it a join by shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -155,21 +159,45 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.nda
 
 
 def _agreeing(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star over each component of rows that agree on at least MATCHES coordinates."""
+    """A star over each component of rows that agree on at least MATCHES coordinates.
+
+    Collisions are counted by merging posting lists: for a row, the rows that stand under the same value of a
+    coordinate. The SKIPPED longest lists are not merged; only rows that the others leave within reach of MATCHES are
+    looked up in them. Where the lists are so long that they hold most rows, the rows left are looked up in all.
+    """
     n = len(ids)
     if n == 2:
         hit = int((sigs[0] == sigs[1]).sum()) >= MATCHES and ids[0] != ids[1]
         return (ids[1:], ids[:1]) if hit else (ids[:0], ids[:0])
-    linked = np.zeros((n, n), bool)
-    for x in range(n):
-        linked[x] = (sigs[x] == sigs).sum(axis=1) >= MATCHES
-    return star_edges(linked, ids)
+    order = np.argsort(sigs, axis=0, kind="stable")
+    ranked = np.take_along_axis(sigs, order, axis=0)
+    bounds = []
+    for c in range(COORDINATES):
+        begin = np.searchsorted(ranked[:, c], sigs[:, c])
+        bounds.append((begin, np.searchsorted(ranked[:, c], sigs[:, c], side="right")))
+    begin, end = (np.stack(x, axis=1) for x in zip(*bounds, strict=True))
+    size = end - begin
+    by_length = np.argsort(size, axis=1, kind="stable")
+    merged, skipped = by_length[:, : COORDINATES - SKIPPED], by_length[:, COORDINATES - SKIPPED :]
+    work = np.take_along_axis(size, merged, axis=1).sum(axis=1)
+
+    def linked(x: int, rows: np.ndarray) -> np.ndarray:
+        if work[x] > 8 * len(rows):
+            return (sigs[rows] == sigs[x]).sum(axis=1) >= MATCHES
+        met = np.bincount(np.concatenate([order[begin[x, c] : end[x, c], c] for c in merged[x].tolist()]), minlength=n)[rows]
+        near = np.flatnonzero(met >= MATCHES - SKIPPED)
+        hit = np.zeros(len(rows), bool)
+        hit[near] = met[near] + (sigs[rows[near][:, None], skipped[x]] == sigs[x, skipped[x]]).sum(axis=1) >= MATCHES
+        return hit
+
+    return star_search(ids, linked)
 
 
 def _confirm(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges (a, b): stars over the sets of one candidate component whose full sets meet the link condition."""
-    sizes = stored(clusters.groupBy("component").agg(F.sum("n").alias("total")), "minhash-sizes")
-    members = stored(clusters.join(sizes, "component").select("doc", "component", F.ceil(F.col("total") / SET_BLOCK).alias("blocks"), "h1"), "minhash-members")
+    sizes = stored(clusters.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("members")), "minhash-sizes")
+    blocks = F.greatest(F.ceil(F.col("total") / SET_BLOCK), F.ceil(F.col("members") / SET_MEMBERS))
+    members = stored(clusters.join(sizes, "component").select("doc", "component", blocks.alias("blocks"), "h1"), "minhash-members")
     small = members.count() <= MOST_BROADCAST
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(members) if small else members, "doc")
 
@@ -185,38 +213,37 @@ def _confirm(docs: DataFrame, clusters: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, columns in unit_rows(batches):
-            a, b = star_edges(linked_sets([np.frombuffer(x, U64) for x in columns[0]]), ids)
+            a, b = linked_sets([np.frombuffer(x, U64) for x in columns[0]], ids)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def linked_sets(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Which pairs of sets meet the link condition; intersections by blocks of a 0/1 incidence matrix."""
-    n = len(sets)
+def linked_sets(sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star over each component of sets that meet the link condition; memory is in proportion to what they hold."""
     size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if n else np.zeros(0, U64)
-    member = np.repeat(np.arange(n), size)
-    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1  # a shingle of one set adds to no intersection
-    rank = np.cumsum(shared) - 1
-    keep = shared[place]
-    column, member = rank[place[keep]], member[keep]
-    order = np.argsort(column, kind="stable")
-    column, member = column[order], member[order]
-    both = np.zeros((n, n), np.float32)
-    total = int(shared.sum())
-    for start in range(0, total, columns):
-        a, b = np.searchsorted(column, [start, start + columns])
-        grid = np.zeros((n, min(columns, total - start)), np.float32)
-        grid[member[a:b], column[a:b] - start] = 1
-        both += grid @ grid.T
-    shared_n = np.rint(both).astype(np.int64)
-    union = size[:, None] + size[None, :] - shared_n
-    linked = (SHARE[0] * shared_n >= SHARE[1] * union) & (shared_n > 0)
-    np.fill_diagonal(linked, False)
-    return linked
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    mark = np.zeros(len(place) + 1, bool)
+
+    def linked(x: int, rows: np.ndarray) -> np.ndarray:
+        # Only sets of a size that can meet the condition are looked at.
+        close = np.flatnonzero((SHARE[0] * size[rows] >= SHARE[1] * size[x]) & (SHARE[0] * size[x] >= SHARE[1] * size[rows]))
+        hit = np.zeros(len(rows), bool)
+        if not len(close):
+            return hit
+        own = place[starts[x] : ends[x]]
+        mark[own] = True
+        count = size[rows[close]]
+        at = np.repeat(starts[rows[close]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.add.reduceat(mark[place[at]].astype(np.int64), np.cumsum(count) - count)
+        mark[own] = False
+        hit[close] = (SHARE[0] * shared >= SHARE[1] * (size[x] + count - shared)) & (shared > 0)
+        return hit
+
+    return star_search(ids, linked)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ large a batch; its windows are counted one by one, by anchor and window hash, wh
 gives the same result. Documents are named by a hash of doc_id and text, so repeated rows are safe.
 
 Defined cases: a null text is empty; a text shorter than LENGTH has no windows; rows of equal doc_id, also equal
-rows, are separate documents (so equal rows of LENGTH bytes or more lose all their text); null doc_ids are allowed;
-an empty table gives no rows.
+rows, are separate documents (so equal rows of LENGTH bytes or more lose all their text), but what is found for one
+copy serves all; null doc_ids are allowed; an empty table gives no rows; other columns play no part, whatever their
+names; text that is cut inside a character leaves its other bytes.
 """
 
 from __future__ import annotations
@@ -239,6 +240,8 @@ def _expand(bodies: DataFrame, length: int, batch_bytes: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # from another copy of a repeated row
                 if size >= batch_bytes and row[0] != at:
                     yield finish()
                     held, size = [], 0
@@ -285,7 +288,7 @@ def _bodies(named: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     wanted = stored(reps.groupBy("key").agg(F.collect_list(F.struct("anchor", "region", "weight", "start", "windows")).alias("wanted")), "suffix-wanted")
     small = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= MOST_BROADCAST
     texts = named.select("key", "text").join(F.broadcast(wanted) if small else wanted, "key")
-    # A text that stands in several rows is cut once.
+    # Each copy of a repeated row gives the same bodies; they are taken once, where they come together.
     texts = texts.select("wanted", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +322,7 @@ def merge_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 def _covered(repeats: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """(key, runs): the removed runs of each text, merged, as (start, end) pairs."""
     placed = repeats.join(found, ["anchor", "region"]).select("key", "start", "pairs")
-    listed = placed.groupBy("key").agg(F.collect_list(F.struct("start", "pairs")).alias("all"))
+    listed = placed.groupBy("key").agg(F.collect_set(F.struct("start", "pairs")).alias("all"))  # a set: copies of a repeated row say the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +355,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_r
         found = _expand(bodies, length, batch_bytes)
     else:
         bodies = stored(bodies.join(hot, "anchor", "left"), "suffix-bodies")
-        found = _expand(bodies.where("hot IS NULL").drop("hot"), length, batch_bytes).union(_count_windows(bodies.where("hot").drop("hot"), length))
+        found = _expand(bodies.where("hot IS NULL").drop("hot"), length, batch_bytes).union(_count_windows(bodies.where("hot").drop("hot").dropDuplicates(["anchor", "region"]), length))
     return _covered(repeats, found, length)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import embeddings, fingerprints, lm, minhash, mixing, packing, secrets, suffix, tokens, toxicity
+from tesserae.llm import _graph, embeddings, fingerprints, lm, minhash, mixing, packing, secrets, suffix, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -86,10 +86,46 @@ def test_minhash_blocks_change_nothing(docs, monkeypatch):
     plain = {i: r["component_id"] for i, r in near(docs).items()}
     monkeypatch.setattr(minhash, "LIST_BLOCK", 2)
     monkeypatch.setattr(minhash, "SET_BLOCK", 50)
+    monkeypatch.setattr(minhash, "SET_MEMBERS", 3)
     monkeypatch.setattr(minhash, "MOST_BROADCAST", 0)
     assert {i: r["component_id"] for i, r in near(docs).items()} == plain
 
 
+def test_agreeing_equals_comparing():
+    rng = np.random.default_rng(4)
+    for n, values in ((3, 2), (40, 3), (60, 50), (25, 1)):
+        sigs = rng.integers(0, values, (n, 64)).astype(np.uint32)
+        sigs[n // 2 :] = sigs[0]
+        for row in range(n // 2, n):
+            sigs[row, : row % 64] = 10_000 + row
+        ids = rng.permutation(n).astype(np.int64) * 3
+        linked = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2) >= minhash.MATCHES
+        assert sorted(zip(*minhash._agreeing(sigs, ids), strict=True)) == sorted(zip(*_graph.star_edges(linked, ids), strict=True))
+
+
+def test_many_short_near_copies_fit(spark):
+    """Bounded units: thousands of small sets of one component are compared within a few hundred MB of a worker."""
+    rng = random.Random(9)
+    base = prose(rng, 60).split(" ")
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[59] = f"end{i}"
+        rows.append((i, " ".join(words)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.groupBy("component_id").count().collect() == [(0, 3000)]
+
+
+def test_linked_sets_equal_brute_force():
+    rng = random.Random(5)
+    sets = [set(rng.sample(range(40), rng.randint(1, 12))) for _ in range(60)]
+    sets += [s | {100 + k} for k, s in enumerate(sets[:30])] + [{1, 2, 3, 4}, {1, 2, 3}]  # the last two are right at the threshold
+    ids = np.arange(len(sets), dtype=np.int64)
+    linked = np.array([[a is not b and 100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets])
+    found = minhash.linked_sets([np.array(sorted(s), minhash.U64) for s in sets], ids)
+    assert sorted(zip(*found, strict=True)) == sorted(zip(*_graph.star_edges(linked, ids), strict=True))
+
+
 def test_minhash_edges(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e f", "x"), (1, None, "x"), (2, "a b c d e f", "x")], "doc_id long, text string, component_id string")
@@ -215,6 +251,14 @@ def test_substring_edges(spark, empty, monkeypatch):
     assert sorted(map(tuple, found)) == removed(rows, 50)
 
 
+def test_substrings_of_many_equal_rows(spark):
+    """Work grows with the number of equal rows, not with its square."""
+    text = prose(random.Random(3), 400)
+    rows = [(7, text)] * 2000 + [(k, text[:100]) for k in range(5)]
+    out = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert Counter((r["n_bytes"], r["n_removed"]) for r in out) == {(len(text), len(text)): 2000, (100, 0): 5}
+
+
 def test_language_model(docs, rows_of):
     split = {i: WORD.findall(t.translate(LOWER)) + [None] for i, t in rows_of}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in split}
