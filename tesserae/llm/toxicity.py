@@ -8,9 +8,10 @@ Kernel. Units are compared by their subsequences of three letters that span at m
 weighs DECAY for each letter that it skips (the string kernel of Lodhi et al., 2002, with bounded span), and vectors
 are normalised. An inserted or missing letter so costs a part of the similarity, not all of it.
 
-Machine. Instances are units of the labelled texts' sentences. As only some words of a toxic text are insults, units
-that stand in many more contexts (before different units) of toxic texts than of others are positive instances;
-counting contexts, not texts, keeps the words of near-copies out. Kernel values against LANDMARKS units, whitened by their own kernel matrix (Nystroem), feed a linear SVM.
+Machine. Instances are the units of labelled sentences, not whole sentences: in a kernel over a sentence one insult
+drowns in its other words. As only some words of a toxic text are insults, units that stand in surprisingly many
+toxic texts are positive instances; texts are counted by groups of near-copies, so that a copied text counts once.
+Kernel values against LANDMARKS units, whitened by their own kernel matrix (Nystroem), feed a linear SVM.
 The decision is linear in the explicit subsequence weights, so it folds into one table from which a unit is scored
 exactly as by the kernel sums.
 
@@ -22,7 +23,8 @@ counted once. Labels are read from the training fold only, and no other column i
 
 Defined cases: a null text is empty; a text without units scores by its absent units, low; rows with a null label
 or doc_id are not learnt from; a doc_id with two labels is toxic if one says so; without labels of both classes every
-score is 0; repeated rows score alike; an empty table gives no rows.
+score is 0; repeated rows score alike; an empty table gives no rows; other columns play no part, whatever their
+names; a very long text is read in one piece, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -44,8 +46,10 @@ LANDMARKS = 384
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
 #: Units of each kind that the machine is fitted on.
 MOST_POSITIVE, MOST_NEGATIVE = 3000, 8000
-#: Contexts that an insult has at least, as a share of the toxic texts, and at least in number.
-LEAST_SHARE, LEAST_CONTEXTS = 0.0075, 3
+#: Groups of toxic texts that an insult stands in at least, and how surprising their number is at least, in nats.
+LEAST_GROUPS, SURPRISE = 3, 9.0
+#: Cost of a positive unit by its groups, up to so many, and of a negative one; rounds of the solver.
+COST, MOST_GROUPS, NEGATIVE_COST, ROUNDS = 5.0, 100, 10.0, 40
 THRESHOLD = 0.7
 CLASSES = 64
 GAPS = [(i, k) for k in range(2, SPAN) for i in range(1, k)]
@@ -120,13 +124,21 @@ def _features(letters: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarra
         yield unit[:-k][same], code[same], DECAY ** (k - 2)
 
 
+def _norms(at: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Length of each unit's vector; a subsequence that occurs again adds to its weight before it is squared."""
+    key, place = np.unique(at * CLASSES**3 + code, return_inverse=True)
+    return np.sqrt(np.bincount(key // CLASSES**3, weights=np.bincount(place, weights=weight) ** 2, minlength=n)) if len(key) else np.zeros(n)
+
+
 def decide(letters: np.ndarray, unit: np.ndarray, n: int, table: np.ndarray, bias: float) -> np.ndarray:
     """The machine's decision for each of n units."""
-    total, norm = np.zeros(n), np.zeros(n)
-    for at, code, weight in _features(letters, unit):
-        total += weight * np.bincount(at, weights=table[code], minlength=n)
-        norm += weight * weight * np.bincount(at, minlength=n)
-    return total / np.sqrt(np.maximum(norm, 1e-9)) + bias
+    found = list(_features(letters, unit))
+    if not found:
+        return np.full(n, bias)
+    at, code = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    weight = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
+    total = np.bincount(at, weights=weight * table[code], minlength=n)
+    return total / np.maximum(_norms(at, code, weight, n), 1e-9) + bias
 
 
 def document_features(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
@@ -158,17 +170,26 @@ def document_features(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bia
 
 
 def _sparse(unit: str) -> dict[int, float]:
+    """The unit's vector, of length 1."""
     letters = np.array([ord(c) - 64 for c in unit], np.uint8)
     out: dict[int, float] = {}
-    norm = 0.0
     for _, codes, weight in _features(letters, np.zeros(len(letters), np.int64)):
         for c in codes.tolist():
             out[c] = out.get(c, 0.0) + weight
-            norm += weight * weight
-    return {c: v / norm**0.5 for c, v in out.items()} if norm else {}
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return {c: v / norm for c, v in out.items()}
 
 
-def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20) -> np.ndarray:
+def folded(marks: list[dict[int, float]], coefficients: np.ndarray) -> np.ndarray:
+    """One table over subsequences for the sum of kernel values with landmarks, each times its coefficient."""
+    table = np.zeros(CLASSES**3, np.float32)
+    for mark, coefficient in zip(marks, coefficients.tolist(), strict=True):
+        for code, value in mark.items():
+            table[code] += coefficient * value
+    return table
+
+
+def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """L2-regularised hinge loss by dual coordinate descent; the last column of x is the constant."""
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     square = (x * x).sum(axis=1)
@@ -208,8 +229,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _machine(positive: list[str], negative: list[str], contexts: list[int]) -> Machine | None:
-    """The SVM from positive units, with their contexts as evidence, and negative units; most telling first."""
+def _machine(positive: list[str], negative: list[str], groups: list[int]) -> Machine | None:
+    """The SVM from positive units, with their groups as evidence, and negative units; most telling first."""
     if not positive or not negative:
         return None
     half = LANDMARKS // 2
@@ -233,12 +254,9 @@ def _machine(positive: list[str], negative: list[str], contexts: list[int]) -> M
     project = basis @ whiten
     z = np.hstack([x @ project, np.ones((len(x), 1))])
     y = np.where(np.arange(len(z)) < len(positive), 1.0, -1.0)
-    cost = np.concatenate([5.0 * np.minimum(contexts, 500), np.full(len(negative), 10.0)])
+    cost = np.concatenate([COST * np.minimum(groups, MOST_GROUPS), np.full(len(negative), NEGATIVE_COST)])
     w = _linear_svm(z, y, cost)
-    table = np.zeros(CLASSES**3, np.float32)
-    for code, c in column.items():
-        table[code] = project[c] @ w[:-1]
-    return Machine(table, float(w[-1]))
+    return Machine(folded(marks, whiten @ w[:-1]), float(w[-1]))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
@@ -252,7 +270,10 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
-    """(unit, toxic_0, clean_0, toxic_1, clean_1): contexts of each unit in toxic and clean texts of each part."""
+    """(unit, toxic_0, clean_0, toxic_1, clean_1): groups of near-copies that hold each unit, by class and part.
+
+    A text's group is the least hash of its runs of three units, which near-copies mostly share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,18 +287,24 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
                 _, place = _distinct(letters, begin)
                 up, down = POWERS.upto(len(letters) + 1)
                 sums = np.concatenate([[U64(0)], np.cumsum(mix(letters.astype(U64)) * up[: len(letters)])])
-                name = mix((sums[end] - sums[begin]) * down[begin]).view(np.int64)
-                follow = np.append(name[1:], 0)
-                follow[:-1][doc[1:] != doc[:-1]] = 0
-                _, first = np.unique(np.stack([doc, place, follow]), axis=1, return_index=True)
+                name = mix((sums[end] - sums[begin]) * down[begin])
+                start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                length = np.diff(np.append(start, len(doc)))
+                runs = np.append(name, [U64(0)] * 2)
+                runs = mix(runs[:-2] + mix(runs[1:-1] + mix(runs[2:])))
+                inner = np.arange(len(doc)) + 2 < np.repeat(start + length, length)  # runs that end in their text
+                inner[start[length < 3]] = True
+                group = np.minimum.reduceat(np.where(inner, runs, np.iinfo(U64).max), start)
+                _, first = np.unique(np.stack([doc, place]), axis=1, return_index=True)
                 d = row + doc[first]
                 spelt = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(follow[first]), pa.array(toxic[d].astype(np.int32)), pa.array(part[d].astype(np.int32))], names=["unit", "follow", "toxic", "part"])
+                own = np.repeat(group, length)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(own.view(np.int64)), pa.array(toxic[d].astype(np.int32)), pa.array(part[d].astype(np.int32))], names=["unit", "group", "toxic", "part"])
 
-    seen = sample.select("text", "toxic", "part").mapInArrow(run, "unit string, follow long, toxic int, part int")
+    seen = sample.select("text", "toxic", "part").mapInArrow(run, "unit string, group long, toxic int, part int")
     has = {f"{kind}_{p}": (F.col("toxic") == t) & (F.col("part") == p) for p in (0, 1) for t, kind in ((1, "toxic"), (0, "clean"))}
-    contexts = seen.groupBy("unit", "follow").agg(*[F.max(c.cast("int")).alias(k) for k, c in has.items()])
-    return contexts.groupBy("unit").agg(*[F.sum(k).alias(k) for k in has])
+    groups = seen.groupBy("unit", "group").agg(*[F.max(c.cast("int")).alias(k) for k, c in has.items()])
+    return groups.groupBy("unit").agg(*[F.sum(k).alias(k) for k in has])
 
 
 def _with_features(rows: DataFrame, machine: Machine, columns: str) -> DataFrame:
@@ -320,12 +347,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine | None:
 
 
 def _instances(counts: DataFrame, totals: dict, parts: tuple[int, ...]) -> tuple[list[str], list[str], list[int]]:
-    """Positive and negative units of some parts, most telling first, at most MOST_POSITIVE and MOST_NEGATIVE; contexts of the positive ones."""
+    """Positive and negative units of some parts, most telling first, at most MOST_POSITIVE and MOST_NEGATIVE; groups of the positive ones."""
     toxic, clean = (sum(F.col(f"{kind}_{p}") for p in parts) for kind in ("toxic", "clean"))
     n_toxic, n_clean = (sum(totals[p, t] for p in parts) for t in (1, 0))
     seen = counts.select("unit", toxic.alias("t"), clean.alias("c")).withColumn("lift", (F.col("t") / n_toxic) / ((F.col("c") + 1) / n_clean))
-    least = max(LEAST_CONTEXTS, round(LEAST_SHARE * n_toxic))
-    telling = seen.where(f"t >= {least} AND lift > 5 AND length(unit) > 2").orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE)
+    # How surprising so many toxic groups are, if the unit said nothing: t log(t / expected), in nats.
+    surprise = F.col("t") * F.log(F.col("t") * (n_toxic + n_clean) / ((F.col("t") + F.col("c")) * float(n_toxic)))
+    telling = seen.where(f"t >= {LEAST_GROUPS} AND lift > 5 AND length(unit) > 2").where(surprise > SURPRISE).orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE)
     positive = telling.collect()
     plain = seen.where("c > 0 AND lift < 2 AND length(unit) > 2")
     negative = [r["unit"] for r in plain.orderBy(F.desc("c"), "unit").limit(MOST_NEGATIVE // 2).collect()]

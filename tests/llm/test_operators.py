@@ -574,6 +574,63 @@ def labelled(rng, n):
     return out
 
 
+def letters_of(words):
+    size = [len(w) for w in words]
+    return np.array([ord(c) - 96 for w in words for c in w], np.uint8), np.repeat(np.arange(len(words)), size)
+
+
+def plain_vector(word):
+    out = Counter()
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def plain_kernel(a, b):
+    x, y = plain_vector(a), plain_vector(b)
+    dot = lambda p, q: sum(v * q[c] for c, v in p.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if x and y else 0.0
+
+
+def test_folded_table_equals_kernel_sums():
+    words = ["idiot", "iddiot", "haha" * 12, "a" * 100, "abc", "ab", "snorfwit", "xyzxyzxyz"]
+    marks = ["idiot", "haha", "snorf", "aaaa"]
+    sparse = [toxicity._sparse(m.upper()) for m in marks]
+    for mark, vector in zip(marks, sparse, strict=True):
+        assert sum(v * v for v in vector.values()) == pytest.approx(1) == plain_kernel(mark, mark)
+    coefficients = np.array([1.5, -0.7, 2.0, 0.3])
+    letters, unit = letters_of(words)
+    found = toxicity.decide(letters, unit, len(words), toxicity.folded(sparse, coefficients), 0.25)
+    expected = [0.25 + sum(c * plain_kernel(w, m) for c, m in zip(coefficients, marks, strict=True)) for w in words]
+    assert found == pytest.approx(expected, abs=1e-6)
+    own = toxicity.decide(letters, unit, len(words), toxicity.folded([toxicity._sparse(("a" * 100).upper())], np.array([1.0])), 0.0)
+    assert own[3] == pytest.approx(1, abs=1e-6) and abs(own).max() <= 1 + 1e-6
+
+
+def test_toxicity_counts_copies_once(spark):
+    """A word that only copies of one toxic text hold is not learnt as an insult."""
+    rng = random.Random(8)
+    rows = labelled(rng, 600)
+    copied = prose(rng, 60) + " quibblemarch"
+    rows += [(1000 + k, copied + f" {prose(rng, 2)}", 1) for k in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(2000, "the quibblemarch went home " + prose(rng, 20))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels, F.lit(False))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, machine).collect()}
+    assert scored[2000] < 0.7 and sum(scored[i] >= 0.7 for i, _, y in rows[:600] if y) >= 190
+
+
+def test_toxicity_names_and_long_texts(spark):
+    rows = [(1, "idiot " * 300_000, 1.0, "x"), (2, "plain words " * 100_000, 2.0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    machine = toxicity.Machine(toxicity.folded([toxicity._sparse("IDIOT")], np.array([3.0])), -1.0)
+    machine.weights = np.array([1.0, 1, 1, 0, 0, 0])
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, machine).collect()}
+    assert out == {1: 1, 2: 0}
+
+
 def test_toxicity(spark, empty):
     rows = labelled(random.Random(6), 900)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, ""), (5002, "Blarg-head s.n.o.r.f.w.i.t go away"), (5003, "b l a r g h e a d and snoorfwiit both"), (None, "quiet words here")], "doc_id long, text string")
