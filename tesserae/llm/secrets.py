@@ -109,30 +109,35 @@ def _matches(text: str, pattern: str, group: int, least: int, kind: str) -> str:
 def scan_secrets(docs: DataFrame, model: list[float] | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """`docs` with `base` and `spans`: arrays of (start, kind, end), ordered; kind is a place in KINDS.
 
-    Purely per row: no shuffle. A text that holds no match of a pattern is searched once and not split.
+    Purely per row: no shuffle. A text that holds no match of a pattern is searched once and not split. Input columns
+    named `base` or `spans` are replaced; all others stay, whatever their names.
     """
     docs = docs.drop("base", "spans")
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    own = "_s"  # begins the names of columns that are only made on the way
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    t = f"{own}t"
+    out = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     for kind, (pattern, group, least) in PATTERNS.items():
-        out = out.withColumn(f"_{kind}", F.expr(_matches("_t", pattern, group, least, kind)))
-    out = out.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+        out = out.withColumn(f"{own}{kind}", F.expr(_matches(t, pattern, group, least, kind)))
+    out = out.withColumn("base", F.array_sort(F.concat(f"{own}assign", f"{own}access", f"{own}hex")))
     if model is None:
-        out = out.withColumn("_markov", F.expr("cast(array() AS array<struct<start: int, kind: int, end: int>>)"))
+        out = out.withColumn(f"{own}markov", F.expr("cast(array() AS array<struct<start: int, kind: int, end: int>>)"))
     else:
         k = len(ALPHABET) + 1
-        found = out.withColumn("_c", F.expr(_matches("_t", CANDIDATE, 0, 0, "markov")))
+        found = out.withColumn(f"{own}c", F.expr(_matches(t, CANDIDATE, 0, 0, "markov")))
         table = f"from_json('{json.dumps(model)}', 'array<double>')"
         apart = "NOT exists(base, b -> b.start < x.end AND x.start < b.end)"
-        states = _pairs_sql("substring(_t, x.start + 1, x.end - x.start)")
+        states = _pairs_sql(f"substring({t}, x.start + 1, x.end - x.start)")
         # s and l are the sums of what exceeds the threshold up to a transition and up to LEAST_STRETCH - 1 before it, m the least l.
         excess = f"transform(c, (x, i) -> CASE WHEN i = 0 THEN 0D ELSE {table}[c[i - 1] * {k} + x] - {threshold}D END)"
         lag = LEAST_STRETCH - 1
         step = f"named_struct('s', a.s + e[i], 'l', a.l + IF(i >= {lag}, e[i - {lag}], 0D), 'm', IF(i >= {lag}, least(a.m, a.l + e[i - {lag}]), a.m), 'b', IF(i >= {lag}, greatest(a.b, a.s + e[i] - least(a.m, a.l + e[i - {lag}])), a.b))"
         best = f"transform(array({excess}), e -> aggregate(sequence(0, size(e) - 1), named_struct('s', 0D, 'l', 0D, 'm', 0D, 'b', double('-inf')), (a, i) -> {step}, a -> a.b))[0]"
         above = f"transform(array({states}), c -> {best})[0] > 0"
-        out = found.withColumn("_markov", F.expr(f"filter(_c, x -> {apart} AND {above})"))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", "_markov")))
-    return out.drop("_t", "_c", "_markov", *[f"_{k}" for k in PATTERNS])
+        out = found.withColumn(f"{own}markov", F.expr(f"filter({own}c, x -> {apart} AND {above})"))
+    out = out.withColumn("spans", F.array_sort(F.concat("base", f"{own}markov")))
+    return out.drop(*[c for c in out.columns if c.startswith(own)])
 
 
 def span_text(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself on small tables, and the defined edge cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -404,6 +405,52 @@ def test_secret_spans(spark, docs, empty):
     assert secrets.scan_secrets(frame, None).count() == frame.count()
 
 
+def plain_spans(text):
+    """Base spans by Python's regular expressions."""
+    kinds = [(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
+    found = [(m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(kinds) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secret_base_equals_plain_scan(spark):
+    """Whole texts of the driver's smallest table, and one very long text, against Python's `re`."""
+    rng = random.Random(11)
+    long = " ".join(prose(rng, 200) + f" token: {rng.randrange(16**20):x} AKIA{'Q7' * rng.randint(5, 12)} é" for _ in range(300))
+    rows = [(-1, long), (-2, "日本 password = 'abcdefghijkl' " * 40), (-3, None), (-4, "")]
+    folder = pathlib.Path("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if folder.exists():
+        docs = docs.union(spark.read.parquet(str(folder)).select(F.col("doc_id").cast("long"), "text"))
+    scanned = secrets.scan_secrets(docs, None).select("doc_id", "text", secrets.span_text(F.col("base")).alias("b"), secrets.span_text(F.col("spans")).alias("s")).collect()
+    assert all(r["b"] == r["s"] == plain_spans(r["text"] or "") for r in scanned) and sum(bool(r["b"]) for r in scanned) >= 2
+
+
+def test_secret_columns_stay(spark):
+    frame = spark.createDataFrame([(1, "x token=abcdefghijkl", "keep", "also", "old")], "doc_id int, text string, _t string, _s_t string, base string")
+    scanned = secrets.scan_secrets(frame, None)
+    assert scanned.columns == ["doc_id", "text", "_t", "_s_t", "base", "spans"]
+    assert secrets.redact(scanned).collect()[0].asDict() == {"doc_id": 1, "text": "x [SECRET]", "_t": "keep", "_s_t": "also"}
+
+
+def test_secret_model_on_unseen_samples(spark):
+    """Keys and identifiers that the model has not seen, in sentences: what the patterns leave is found by the model."""
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = (letters, letters + "+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
+    parts = "render viewport matrix shader texture vertex pixel frame socket listener channel packet router gateway session cookie header payload schema tenant invoice ledger".split()
+    keys = ["".join(rng.choice(kinds[k % 4]) for _ in range(rng.randint(24, 44))) for k in range(400)]
+    joins = (lambda w: "_".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "_".join(w).upper())
+    names = [joins[k % 5](rng.sample(parts, 4)) for k in range(400)]
+    rows = [(i, f"the value {x} was read") for i, x in enumerate(keys + names)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    prose_rows = spark.createDataFrame([(i, prose(rng, 60)) for i in range(200)], "doc_id int, text string")
+    model = secrets.train(secrets.labelled_samples(spark, prose_rows, 6000))
+    hit = {r["doc_id"] for r in secrets.scan_secrets(frame, model).where("exists(spans, s -> s.kind = 3)").select("doc_id").collect()}
+    found, wrong = sum(i in hit for i in range(400)) / 400, sum(i in hit for i in range(400, 800)) / 400
+    print("held-out keys found", found, "identifiers flagged", wrong)
+    assert found > 0.95 and wrong < 0.03
+
+
 def test_secret_glued_to_words(spark, docs):
     key = "Zq8vN2xLpR7tYw3KbD5mHs9C"
     glued = [f"production_customer_service_access_key={key}", f"{key}_production_customer_service_access_number", f"customer/address/version/{key}/customer/address/version"]
