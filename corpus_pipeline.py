@@ -6,7 +6,9 @@
 4. mix: documents are taken 0 to 3 times so that sources meet their target weights.
 5. pack: documents are cut and packed into sequences; one row per piece.
 
-All stages but the last return the columns of `documents`. SQL cannot express the classifier, so there is no
+All stages but the last return the columns of `documents`; other columns of the input go. A null text is an empty one
+to every stage and stays null; repeated rows and rows without doc_id are documents, of which near_dedup keeps one of
+each group; an empty table gives no rows. SQL cannot express the classifier, so there is no
 ORACLE_SQL; tests hold the pipeline against a plain version.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import minhash, mixing, packing, secrets, toxicity
@@ -34,10 +36,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group: of the smallest doc_id, and of rows that share it the one with the least text.
+
+    Rows without a doc_id go by a number made of their text, above all usual ids, so they are grouped like others and
+    a row with an id is preferred to them.
+    """
     ship(spark)
-    gone = stored(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "pipeline-gone")
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.select(*COLUMNS, F.coalesce(F.col("doc_id"), stand_in).alias("_id"))
+    found = stored(minhash.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), "kept"), "pipeline-groups")
+    gone = found.where("NOT kept").select("_id").distinct()
     few = gone.count() <= MOST_BROADCAST
-    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    left = named.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    again = stored(found.where("kept").groupBy("_id").count().where("count > 1").select("_id"), "pipeline-again")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
+    several = left.join(again, "_id").withColumn("_at", F.row_number().over(Window.partitionBy("_id").orderBy("text", "source", "lang", "n_chars")))
+    return left.join(again, "_id", "left_anti").select(*COLUMNS).union(several.where("_at = 1").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
