@@ -97,3 +97,30 @@ def test_stages(spark, folder):
     for pieces in by_bin.values():
         assert sum(p["n_words"] for p in pieces) <= 2048 and len({p["cluster"] for p in pieces}) == len(pieces)
     assert sorted(map(tuple, corpus_pipeline.run(spark, path).collect())) == sorted(map(tuple, seen[4]))
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, other = "one two three four five six seven eight nine ten eleven twelve", "quite another text with nothing in common at all here"
+    rows = [(5, text), (5, text), (7, text + " more"), (None, text), (None, other), (None, other), (9, None), (9, None), (10, ""), (11, other.upper()), (11, "a third text under one number is linked with it too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    found = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert found == sorted([(5, text), (9, None), (10, ""), (11, other.upper())], key=str)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, and null, empty and very long texts with repeated rows, through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(5)) for _ in range(40_000)]
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words", "en", "a", 10), (3, " ".join(words), "en", "b", 1), (4, "token=abcdefghijklmnop " + " ".join(words[:50]), "en", "a", 1)]
+    for name, made in (("none", []), ("odd", rows)):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(made, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        packed = corpus_pipeline.run(spark, path).collect()
+        if not made:
+            assert packed == []
+        else:
+            assert {r["doc_id"] for r in packed} >= {1, 2} and sum(r["n_words"] for r in packed if r["doc_id"] == 3) % 40_000 == 0
