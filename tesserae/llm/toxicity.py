@@ -51,6 +51,8 @@ LEAST_GROUPS, SURPRISE = 3, 9.0
 #: Cost of a positive unit by its groups, up to so many, and of a negative one; rounds of the solver.
 COST, MOST_GROUPS, NEGATIVE_COST, ROUNDS = 5.0, 100, 10.0, 40
 THRESHOLD = 0.7
+#: Text bytes worked on at once: each letter gives several subsequences of 24 bytes and more.
+CHUNK_BYTES = 1 << 18
 CLASSES = 64
 GAPS = [(i, k) for k in range(2, SPAN) for i in range(1, k)]
 # Signs and digits that stand for letters.
@@ -278,7 +280,7 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic, part = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for row, _, data, offs in chunks(batch.column(0)):
+            for row, _, data, offs in chunks(batch.column(0), CHUNK_BYTES):
                 letters, begin, doc = units(data, offs)
                 if not len(begin):
                     continue
@@ -316,7 +318,7 @@ def _with_features(rows: DataFrame, machine: Machine, columns: str) -> DataFrame
         model = shared.value
         for batch in batches:
             last = batch.num_columns - 1
-            for row, end, data, offs in chunks(batch.column(last)):
+            for row, end, data, offs in chunks(batch.column(last), CHUNK_BYTES):
                 features = document_features(data, offs, model.table, model.bias)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, features.size + 1, 5, dtype=np.int32)), pa.array(features.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, end - row) for c in range(last)), flat, pa.array(model.score(features))], names=[*names, "features", "score"])
