@@ -5,7 +5,8 @@ What is removed: every byte covered by a string of LENGTH bytes that also starts
 1. Windows to regions. Every window of LENGTH bytes has an anchor, its GRAM-byte substring of least hash (the last
    of equal ones). The anchor depends on the window's bytes alone, so equal windows have equal anchors. Neighbouring
    windows with the same anchor form a region; each window is in exactly one. Regions whose anchor occurs once in
-   the corpus hold no repeated window and go; the others are grouped by anchor, equal regions pre-aggregated.
+   the corpus hold no repeated window and go; the others are grouped by anchor, equal regions pre-aggregated. A group
+   of one distinct region stands in several places as a whole, and all its windows are repeated.
 2. Interval expansion. Groups are batched, about BATCH_BYTES at a time: the distinct regions are concatenated, and
    suffix array and Burrows-Wheeler transform are built. Boundaries between neighbouring suffixes are then found in
    the order of their common prefix (Beller et al., 2013): all with value l + 1 follow from those with value l by one
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm._store import stored
@@ -254,6 +255,18 @@ def _expand(bodies: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, region long, pairs binary")
 
 
+def _wholly(alone: DataFrame) -> DataFrame:
+    """The same for anchors with one distinct region: it stands in several places, so all its windows are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = np.asarray(batch.column(2)).astype(np.int32) - 1
+            pairs = np.stack([np.zeros(len(last), np.int32), last], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in pairs], pa.binary())], names=["anchor", "region", "pairs"])
+
+    return alone.select("anchor", "region", "windows").mapInArrow(run, "anchor long, region long, pairs binary")
+
+
 def _count_windows(bodies: DataFrame, length: int) -> DataFrame:
     """The same as `_expand` for anchors with very many regions: windows are counted by hash, in parallel."""
 
@@ -348,15 +361,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_r
     shared = stored(every.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor"), "suffix-shared")
     repeats = stored(every.join(shared, "anchor"), "suffix-repeats")
     first = F.min(F.struct("key", "start", "windows")).alias("rep")
-    distinct = stored(repeats.groupBy("anchor", "region").agg(F.count("*").alias("weight"), first).select("anchor", "region", "weight", "rep.*"), "suffix-distinct")
-    hot = stored(distinct.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_regions).select("anchor", F.lit(True).alias("hot")), "suffix-hot")
+    counted = repeats.groupBy("anchor", "region").agg(F.count("*").alias("weight"), first).select("anchor", "region", "weight", "rep.*")
+    every = stored(counted.withColumn("_n", F.count("*").over(Window.partitionBy("anchor"))), "suffix-distinct")
+    alone, distinct = every.where("_n = 1"), every.where("_n > 1").drop("_n")
+    hot = stored(every.where(F.col("_n") > hot_regions).select("anchor", F.lit(True).alias("hot")).distinct(), "suffix-hot")
     bodies = _bodies(named, distinct, length)
     if hot.isEmpty():
         found = _expand(bodies, length, batch_bytes)
     else:
         bodies = stored(bodies.join(hot, "anchor", "left"), "suffix-bodies")
         found = _expand(bodies.where("hot IS NULL").drop("hot"), length, batch_bytes).union(_count_windows(bodies.where("hot").drop("hot").dropDuplicates(["anchor", "region"]), length))
-    return _covered(repeats, found, length)
+    return _covered(repeats, found.union(_wholly(alone)), length)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_regions: int = HOT_REGIONS, batch_bytes: int = BATCH_BYTES, keep_text: bool = False) -> DataFrame:
