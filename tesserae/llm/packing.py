@@ -7,14 +7,14 @@ first bin at or after the piece's size is its tightest fit; while that bin confl
 `source_limit` times, or the cluster is there), the search goes on to the next residual, until a bin is compatible
 or a new one is opened. So every piece goes to the tightest compatible bin that is open.
 
-Documents are dealt by a hash of doc_id into shards, and a task packs runs of at most `block_docs` documents one
-after the other, so bins never span runs: memory and time of a task are bounded for any input, and what is lost is
-at most the open bins at the end of each run. Equal documents fall into one shard and never into one bin. A hot
+Documents are dealt by a hash of doc_id and cluster into shards, and a task packs runs of at most `block_docs`
+documents one after the other, so bins never span runs: memory and time of a task are bounded for any input, and
+what is lost is at most the open bins at the end of each run. Equal documents fall into one shard and never into one bin. A hot
 source or cluster costs bins, as the constraint demands, and a walk over a run's open bins: each conflict is told by
 one bit.
 
 Defined cases: a null text is empty; an empty text is a piece of 0 words, and takes a place in a bin like any
-other; null sources are one source; null doc_ids are documents of one shard; repeated rows are packed separately,
+other; null sources are one source; null doc_ids are dealt by their texts; repeated rows are packed separately,
 into different bins; an empty table gives no rows.
 """
 
@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, source_limit: int
     same = F.xxhash64(F.regexp_replace(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"[\x20\x09-\x0D]+", " ")) if cluster is None else F.xxhash64(F.col(cluster))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), F.col("source").cast("string").alias("source"), same.alias("cluster"))
     shards = max(1, docs.count() // shard_docs)
-    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).withColumn("turn", F.xxhash64("doc_id", F.lit(7)))
+    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")).withColumn("turn", F.xxhash64("doc_id", F.lit(7)))
     dealt = keyed.repartition("shard").sortWithinPartitions("shard", "turn", "doc_id", "words", "source", "cluster").select("shard", "doc_id", "words", "source", "cluster")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
