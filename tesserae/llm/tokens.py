@@ -12,7 +12,8 @@ left of p never look at symbols right of it. The model's normaliser is the ident
 puts before a text; that space can only reach up to a chunk's first stable position.
 
 Defined cases: a null text is empty and has 0 tokens; null doc_ids and repeated rows are rows like others; an
-empty table gives no rows; columns of the input that are not asked for play no part.
+empty table gives no rows; columns of the input that are not asked for play no part; bytes that are not UTF-8 are
+encoded as U+FFFD and count in n_bytes as they are.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, chunk_char
         for batch in batches:
             for row, end, data, offs in chunks(batch.column(1)):
                 raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                texts = [raw[a:b].decode(errors="replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 n = np.array(counter.counts(texts), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).cast(pa.int64()), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
