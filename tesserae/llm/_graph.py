@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._store import stored
+from tesserae.llm._store import remove, written
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -16,11 +16,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is two grouped minima and two
     equi-joins, so a hot node is pre-aggregated and its join side can be split by AQE. Rounds are logarithmic in
-    the graph's diameter; each is written to the shared folder, so lineage stays short. Nothing is collected but
-    a count and a checksum. Null nodes and self-loops are ignored.
+    the graph's diameter; each is written to the shared folder, so lineage stays short, and deleted once the next
+    is written. Nothing is collected but a count and a checksum. Null nodes and self-loops are ignored.
     """
     edge = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = stored(edge.distinct(), label)
+    now, path = written(edge.distinct(), label)
     seen = _checksum(now)
     while seen[0]:
         both = now.union(now.select("v", "u"))
@@ -28,9 +28,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = stored(small.select("e.u", "e.v").where("u <> v").distinct(), label)
+        nxt, own = written(small.select("e.u", "e.v").where("u <> v").distinct(), label)
         check = _checksum(nxt)
-        now = nxt
+        remove(edges.sparkSession, path)
+        now, path = nxt, own
         if check == seen:
             break
         seen = check

@@ -693,3 +693,26 @@ def test_toxicity(spark, empty):
     assert toxicity.score_documents(empty, machine).count() == 0
     assert toxicity.fit(docs, labels.where("toxic = 0"), held) is None
     assert {r["score"] for r in toxicity.score_documents(docs, None).collect()} == {0.0}
+
+
+def test_packing_deals_rows_without_doc_id(spark):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id, ' more') AS text", "'s' AS source")
+    bins = {r["bin"].rsplit("-", 2)[0] for r in packing.pack_documents(rows, shard_docs=300).collect()}
+    assert len(bins) > 5
+
+
+def test_component_rounds_go(spark):
+    from pathlib import Path
+
+    from tesserae.llm._graph import components
+    from tesserae.llm._store import shared_dir
+
+    edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
+    assert components(edges, "rounds").where("component = 0").count() == 61
+    assert len(list((Path(shared_dir(spark).removeprefix("file://")) / "tesserae").glob("rounds-*"))) == 1
+
+
+def test_token_counts_of_bad_bytes(spark, model_path):
+    rows = spark.sql("SELECT 1L AS doc_id, CAST(unhex('6162FF63') AS STRING) AS text UNION ALL SELECT 2L, 'ab\ufffdc'")
+    bad, same = sorted(tokens.count_tokens(rows, model_path).collect(), key=lambda r: r["doc_id"])
+    assert bad["n_tokens"] == same["n_tokens"] and (bad["n_bytes"], same["n_bytes"]) == (4, 6)
