@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import minhash, mixing, packing, secrets, toxicity
 from tesserae.llm._ship import ship
-from tesserae.llm._store import stored
+from tesserae.llm._store import cleared, remove, stored, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Dropped doc_ids up to which they are broadcast (8 bytes each); beyond it the join is shuffled.
@@ -82,8 +82,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result lies in the shared folder before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each result lies in the shared folder before the next stage reads it.
+
+    What a stage has written on the way, and its input, is deleted once its result is there; the last result stays.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with cleared(spark) as kept:
+            docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.add(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
