@@ -124,3 +124,15 @@ def test_odd_tables(spark, tmp_path):
             assert packed == []
         else:
             assert {r["doc_id"] for r in packed} >= {1, 2} and sum(r["n_words"] for r in packed if r["doc_id"] == 3) % 40_000 == 0
+
+
+def test_only_the_result_is_left(spark, folder):
+    from pathlib import Path
+
+    from tesserae.llm._store import shared_dir
+
+    base = Path(shared_dir(spark).removeprefix("file://")) / "tesserae"
+    before = set(base.iterdir()) if base.exists() else set()
+    packed = corpus_pipeline.run(spark, folder[0])
+    assert packed.count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in set(base.iterdir()) - before] == ["pipeline-pack"]
