@@ -248,13 +248,11 @@ def _machine(positive: list[str], negative: list[str], groups: list[int]) -> Mac
     values, vectors = np.linalg.eigh(basis.T @ basis)
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.zeros((len(positive) + len(negative), len(column)), np.float32)
-    for row, unit in enumerate(positive + negative):
-        for code, value in _sparse(unit).items():
-            if code in column:
-                x[row, column[code]] = value
     project = basis @ whiten
-    z = np.hstack([x @ project, np.ones((len(x), 1))])
+    z = np.ones((len(positive) + len(negative), project.shape[1] + 1))
+    for row, unit in enumerate(positive + negative):  # one by one: all units by all subsequences would be a large matrix
+        shared = {column[code]: value for code, value in _sparse(unit).items() if code in column}
+        z[row, :-1] = np.array(list(shared.values())) @ project[list(shared)] if shared else 0.0
     y = np.where(np.arange(len(z)) < len(positive), 1.0, -1.0)
     cost = np.concatenate([COST * np.minimum(groups, MOST_GROUPS), np.full(len(negative), NEGATIVE_COST)])
     w = _linear_svm(z, y, cost)
