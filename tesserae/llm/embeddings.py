@@ -7,14 +7,17 @@
    compared with those up to a window of ranks before it (its block of the order and the block before); pairs with
    cosine >= the threshold are united, across passes, into components. Passes carry single-precision vectors; a pair
    too near the threshold for them is confirmed apart, from the doubles.
-3. Inside a component all pairs are compared, in block pairs of bounded size, which gives every vector's exact
+3. All vectors are then compared across components, in block pairs of at most BLOCK_BYTES a side, and what links
+   there unites its components too: no link depends on the passes, on their number or on a sample. This check is
+   quadratic in the distinct vectors; pairs inside a component need no edge, so it puts out next to nothing.
+4. Inside a component all pairs are compared, in block pairs of bounded size, which gives every vector's exact
    number of links: a group larger than the window loses none.
 
-A component needs only enough window pairs to hang together, but a lone pair must meet in one pass. How often a pair
-right at the threshold meets is measured, not assumed (`plan_passes`): SAMPLE vectors stand for the table, PROBES of
-them get a partner at the threshold in a random direction, and TRIALS passes tell how far apart the two come to
-stand. The passes are as many as the worst quarter of the probes needs to miss a pair with probability MISS at most;
-of WINDOWS the one with the least work is taken. Crowded tables so get more passes or wider windows.
+The passes are there to leave little to unite. How often a pair right at the threshold meets in them is measured
+(`plan_passes`): SAMPLE vectors stand for the table, PROBES of them get a partner at the threshold in a random
+direction, and TRIALS passes tell how far apart the two come to stand. The passes are as many as the worst quarter of
+the probes needs to miss a pair with probability MISS at most; of WINDOWS the one with the least work is taken. The
+sample so sets only which links the passes find and which the check finds, never which are found.
 
 Links are confirmed in double precision. No pair is put out: units give stars and counts.
 
@@ -50,6 +53,10 @@ MISS = 1e-3
 SAMPLE, PROBES, TRIALS = 8192, 256, 64
 #: What single-precision cosines may be off.
 SLACK = 1e-5
+#: Single-precision bytes of one side of a block pair in the check; small tables are cut into up to 4 blocks of 1 MB or more.
+BLOCK_BYTES = 16 << 20
+#: Vectors a side that are compared at once in the check.
+TILE = 1024
 #: Distinct vectors of a block when a component's pairs are compared.
 PAIR_BLOCK = 1024
 
@@ -213,6 +220,47 @@ def _window_edges(ranked: DataFrame, distinct: DataFrame, threshold: float) -> D
     return edges.where("sure").select("a", "b").union(_confirmed(edges.where("NOT sure").select("a", "b"), distinct, threshold))
 
 
+def _missed_edges(distinct: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Stars over all links between different components of `found`; a vector without one is its own."""
+    size = (distinct.agg(F.sum(F.length("vec"))).first()[0] or 0) // 2
+    blocks = max(1, -(-size // BLOCK_BYTES), min(4, size >> 20))
+    rows = _single(distinct).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("own")
+    dealt = block_pairs(rows, F.lit(blocks), F.col("rep")).select(F.lit(0).alias("unit"), "i", "j", "rep", "vec", "component", own)
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("unit", "i", "j", "rep")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), ids, (vecs, component, own) in unit_rows(batches):
+            component, own = np.array(component, np.int64), np.array(own)
+            for at, x in _matrix(vecs, np.float32).values():
+                one, two = np.flatnonzero(own[at] == i), np.flatnonzero(own[at] == j)
+                for a in range(0, len(one), TILE):
+                    for b in range(a if i == j else 0, len(two), TILE):
+                        left, right = one[a : a + TILE], two[b : b + TILE]
+                        cosine = x[left] @ x[right].T
+                        if cosine.max() < threshold - SLACK:
+                            continue
+                        left, right = at[left], at[right]
+                        near = (cosine >= threshold - SLACK) & (component[left][:, None] != component[right][None, :])
+                        sure = near & (cosine >= threshold + SLACK)
+                        star = _stars_between(sure, component[left], component[right])
+                        open_a, open_b = np.nonzero(near & ~sure)
+                        out = np.concatenate([star[0], ids[left[open_a]]]), np.concatenate([star[1], ids[right[open_b]]])
+                        if len(out[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(np.arange(len(out[0])) < len(star[0]))], names=["a", "b", "sure"])
+
+    edges = stored(dealt.mapInArrow(compare, "a long, b long, sure boolean").distinct(), "embedding-missed")
+    return edges.where("sure").select("a", "b").union(_confirmed(edges.where("NOT sure").select("a", "b"), distinct, threshold))
+
+
+def _stars_between(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`star_edges` of what links the rows, which `left` names, with the columns, which `right` names."""
+    row, column = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    both = np.zeros((len(row) + len(column),) * 2, bool)
+    both[: len(row), len(row) :] = linked[np.ix_(row, column)]
+    return star_edges(both | both.T, np.concatenate([left[row], right[column]]))
+
+
 def _single(distinct: DataFrame) -> DataFrame:
     """(rep, vec) with vectors in single precision, of unit length."""
 
@@ -271,6 +319,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, win
     turns, window = plan_passes(sample, distinct.count(), threshold, windows, miss)
     edges = _window_edges(_ranked(_pass_keys(distinct, turns, sample), window), distinct, threshold)
     found = stored(components(edges, "embedding-components"), "embedding-found")
+    missed = _missed_edges(distinct, found, threshold)
+    if not missed.isEmpty():
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(components(known.union(missed), "embedding-components"), "embedding-found")
     members = distinct.join(found.withColumnRenamed("node", "rep"), "rep")
     links = _link_counts(members.select("component", "rep", "vec", "copies"), threshold)
     labels = distinct.select("rep", "h1", "h2", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
