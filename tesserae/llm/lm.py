@@ -13,8 +13,11 @@ chunk by another. Both ways read the same bits, so scores do not depend on which
 twice, so rows that come out of a shuffle are written first, and a chunk that was cut otherwise raises.
 
 Probability: p(w | h) = t * c(h,w) / c(h) + (1 - t) * (c(w) + 1) / (C + V + 1), all c from the filter, C their sum;
-t by the level of h, fitted by expectation maximisation on TUNE_DOCS training texts that are left out of the pair
-counts for that. Their pairs are counted apart: the filter for fitting lacks them, the final one has all texts.
+t by the level of h, fitted by expectation maximisation on all training texts, each against the counts of the others:
+what a text itself adds to c(h,w), c(h) and c(w) is taken off, and its tokens whose history then has nothing left are
+passed over. A level without others, as that of histories that stand once, takes the weight of the next level that has
+them. Levels are looked up once: the words' and pairs' levels of each text are written, two bytes a token before
+compression, with a histogram of what fitting needs, and read again when the weights are known.
 
 Base: exact add-one unigram scores. Counts of the most frequent words (at most HEAD_WORDS, 16 bytes each) are
 broadcast; the rest of a text's words, which are rare, are looked up by an equi-join with the written counts.
@@ -27,11 +30,13 @@ training rows N and V are 0; repeated rows are counted and scored one by one; an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +48,10 @@ HEAD_WORDS = 1 << 21
 MOST_FILTER_BYTES = 8 << 20
 BITS_PER_ENTRY = 12
 PROBES = 6
-TUNE_DOCS = 400
-#: The texts for fitting the weights are taken from one in so many.
-TUNE_SHARE = 64
+#: The weights are fitted on one in so many training texts: on every one.
+TUNE_SHARE = 1
+#: Tokens of whole texts that are fitted on or weighed at once; a longer text is alone.
+GROUP_TOKENS = 1 << 17
 #: Tokens counted before a task hands on its counts.
 FLUSH_TOKENS = 2_000_000
 #: Bytes of text whose n-grams are asked for together, where the filter is not broadcast; a longer text is a chunk.
@@ -112,7 +118,7 @@ def unpacked_keys(body: bytes) -> np.ndarray:
 
 
 def _counted(train: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, keys, counts): packed counts of words (kind 0), pairs (kind 1) and pairs of texts for tuning (kind 2) from each task."""
+    """(kind, bucket, keys, counts): packed counts of words (kind 0) and pairs (kind 1) from each task."""
     shift = U64(64 - bits)
 
     def packed(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -127,7 +133,7 @@ def _counted(train: DataFrame, bits: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, list] = ([], [])
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -137,67 +143,48 @@ def _counted(train: DataFrame, bits: int) -> DataFrame:
                 arrays.clear()
 
         for batch in batches:
-            tuned = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            for row, end, data, offs in chunks(batch.column(1), HASHED_TEXT):
-                token, history, doc = tokens(data, offs)
+            for _, _, data, offs in chunks(batch.column(0), HASHED_TEXT):
+                token, history, _ = tokens(data, offs)
                 held[0].append(token)
-                pairs, apart = pair_key(history, token), tuned[row:end][doc]
-                held[1].append(pairs[~apart])
-                held[2].append(pairs[apart])
+                held[1].append(pair_key(history, token))
                 size += len(token)
                 if size >= FLUSH_TOKENS:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    return train.select("_tune", "text").mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
+    return train.select("text").mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
 
 
 def _merged(counted: DataFrame) -> DataFrame:
-    """(kind, bucket, level, n, total, keys, counts): the whole corpus's counts, packed by bucket and level.
-
-    Kinds: words 0; pairs that no text for tuning has 1; pairs that such texts have, as other texts count them 2, as all texts count them 3.
-    """
-    dealt = counted.withColumn("pair", F.col("kind") > 0).repartition("pair", "bucket").sortWithinPartitions("pair", "bucket")
+    """(kind, bucket, level, n, total, keys, counts): the whole corpus's counts, packed by bucket and level."""
+    dealt = counted.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
 
     def leveled(kind: int, bucket: int, k: np.ndarray, c: np.ndarray) -> list[tuple]:
         level = np.frexp(c.astype(np.float64))[1] - 1
         return [(kind, bucket, int(q), int((level == q).sum()), int(c[level == q].sum()), k[level == q].tobytes(), c[level == q].tobytes() if kind == 0 else b"") for q in np.unique(level)]
 
-    def finish(pair: bool, bucket: int, parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        width = np.uint32 if pair else U64
-        keys = [[np.frombuffer(k, U64) if not pair else unpacked_keys(k) for kind, k, _ in parts if kind == part] for part in range(3)]
-        counts = [_merge(np.concatenate([np.zeros(0, width), *keys[part]]), np.frombuffer(b"".join(c for kind, _, c in parts if kind == part), np.uint32).astype(np.int64)) for part in range(3)]
-        if pair:
-            (k, c), tuned = counts[1:]
-            touched = np.isin(k, tuned[0])
-            every = _merge(np.concatenate([k[touched], tuned[0]]), np.concatenate([c[touched], tuned[1]]))
-            rows = leveled(1, bucket, k[~touched], c[~touched]) + leveled(2, bucket, k[touched], c[touched]) + leveled(3, bucket, *every)
-        else:
-            rows = leveled(0, bucket, *counts[0])
+    def finish(kind: int, bucket: int, parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys = np.concatenate([np.frombuffer(k, U64) if kind == 0 else unpacked_keys(k) for k, _ in parts])
+        rows = leveled(kind, bucket, *_merge(keys, np.frombuffer(b"".join(c for _, c in parts), np.uint32).astype(np.int64)))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "bucket", "level", "n", "total", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
         for batch in batches:
-            for kind, bucket, k, c, pair in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if at is not None and at != (pair, bucket):
+            for kind, bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if at is not None and at != (kind, bucket):
                     yield finish(*at, parts)
                     parts = []
-                at = (pair, bucket)
-                parts.append((kind, k, c))
+                at = (kind, bucket)
+                parts.append((k, c))
         if at is not None:
             yield finish(*at, parts)
 
     return dealt.mapInArrow(run, "kind int, bucket int, level int, n long, total long, keys binary, counts binary")
 
 
-def _kept(merged: DataFrame, tuning: bool) -> DataFrame:
-    """(bucket, kind, level, keys) of the words (kind 0) and pairs (kind 1) of the filter, for tuning or of all texts."""
-    return merged.where(f"kind <> {3 if tuning else 2}").select("bucket", F.least("kind", F.lit(1)).alias("kind"), "level", "keys")
-
-
 def _positions(kind: int, low: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """The PROBES bit positions of (n-gram, level) in a segment of so many bits."""
     h = mix(low.astype(U64) * U64(0xD1342543DE82EF95) + U64((2 * level + kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -449,18 +436,60 @@ class Model:
         out.filter = None
         return out
 
-    def parts(self, seen: Looked) -> tuple[np.ndarray, np.ndarray]:
-        """(pair probability, word probability) of tokens."""
-        word = (expected_count(seen.word_level) + 1) / (self.mass + self.words + 1)
-        count = expected_count(seen.history_level)
-        pair = np.divide(expected_count(seen.pair_level), count, out=np.zeros(len(count)), where=count > 0)
-        return np.minimum(1.0, pair), word
+    def parts(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair probability, word probability) of tokens whose words, histories and pairs have these counts."""
+        follow = np.divide(pair, history, out=np.zeros(len(history)), where=history > 0)
+        return np.minimum(1.0, follow), (word + 1) / (self.mass + self.words + 1)
 
-    def log10(self, seen: Looked) -> np.ndarray:
-        pair, word = self.parts(seen)
-        t = self.weights[seen.history_level]
+    def log10(self, word_level: np.ndarray, history_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
+        pair, word = self.parts(*map(expected_count, (word_level, history_level, pair_level)))
+        t = self.weights[history_level]
         return np.log10(t * pair + (1 - t) * word)
 
+    def left_out(self, seen: Looked, tuned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Histogram over the tokens of the texts in `tuned` of (level of the history, ratio of pair to word probability), a text's own counts taken off."""
+        found = []
+        ends = np.append(np.flatnonzero(np.diff(seen.doc)), len(seen.doc) - 1) + 1  # of each text's tokens
+        for a, b in groups(np.diff(ends, prepend=0)):
+            at = slice(ends[a - 1] if a else 0, ends[b - 1])
+            doc, history_level = seen.doc[at], seen.history_level[at]
+            salt = mix((doc - doc[0]).astype(U64) + U64(1))
+            own_word, own_pair = (_times(mix(keys[at] ^ salt)) for keys in (seen.token, seen.pair))
+            begins = seen.history[at] == BEGIN
+            own_history = np.where(begins, 1, np.roll(own_word, 1))
+            word, history, pair = (np.maximum(0.0, expected_count(level) - own) for level, own in ((seen.word_level[at], own_word), (history_level, own_history), (seen.pair_level[at], own_pair)))
+            use = tuned[doc] & (history >= 1)
+            follow, alone = self.parts(word[use], history[use], pair[use])
+            ratio = np.where(follow > 0, np.rint(2 * np.log2(np.maximum(follow, 1e-300) / alone)), -9999).astype(np.int64)
+            found.append(np.unique(history_level[use] * 100_000 + ratio + 50_000, return_counts=True))
+        return _merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _times(keys: np.ndarray) -> np.ndarray:
+    """How often each key stands among the keys."""
+    _, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of texts of about GROUP_TOKENS tokens in all, at least one text each."""
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + GROUP_TOKENS, side="right")))
+        yield a, b
+        a = b
+
+
+def _packed_levels(seen: Looked, bounds: np.ndarray) -> list[bytes]:
+    """The levels of the words and pairs of each text; those of histories follow from them."""
+    both = np.stack([seen.word_level, seen.pair_level], axis=1).astype(np.uint8)
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        press = zlib.compressobj(1, zlib.DEFLATED, -15, 4, zlib.Z_HUFFMAN_ONLY)
+        out.append(press.compress(both[a:b]) + press.flush())
+    return out
+
 
 def _used(model: Model, texts: DataFrame, kept: DataFrame, bits: int, use: Callable[[Looked, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What `use` makes of rows (uid, doc_id, _held, text) and their levels, from the model's filter or by bucket."""
@@ -479,31 +508,31 @@ def _used(model: Model, texts: DataFrame, kept: DataFrame, bits: int, use: Calla
     return texts.mapInArrow(run, schema)
 
 
-def _tune(model: Model, train: DataFrame, kept: DataFrame, bits: int) -> None:
-    """Fits the weights by level on texts that the pair counts have not seen; their ratios come back as a histogram."""
-    plain = Model(None, model.words, model.mass)
+def _tune(model: Model, scored: DataFrame) -> None:
+    """Fits the weights by level on the histograms of all chunks."""
 
-    def ratios(seen: Looked, own: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pair, word = plain.parts(seen)
-        ratio = np.where(pair > 0, np.rint(2 * np.log2(np.maximum(pair, 1e-300) / word)), -9999).astype(np.int64)
-        both, n = np.unique(seen.history_level * 100_000 + ratio + 50_000, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], names=["both", "n"])
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                both, n = np.frombuffer(body, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], names=["both", "n"])
 
-    sample = stored(train.where("_tune").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TUNE_DOCS).select("uid", "doc_id", "_held", "text"), "lm-tuning")
-    rows = _used(model, sample, kept, bits, ratios, "both long, n long").groupBy("both").agg(F.sum("n").alias("n")).collect()
+    rows = scored.where("fit IS NOT NULL").select("fit").mapInArrow(unpack, "both long, n long").groupBy("both").agg(F.sum("n").alias("n")).collect()
     by_level: dict[int, list[tuple[float, int]]] = {}
     for r in rows:
         level, ratio = divmod(r["both"], 100_000)
         by_level.setdefault(level, []).append((0.0 if ratio - 50_000 == -9999 else 2.0 ** ((ratio - 50_000) / 2), r["n"]))
     for level, seen in by_level.items():
-        if level == 0:
-            continue
         ratio, n = (np.array(x, np.float64) for x in zip(*seen, strict=True))
         t = 0.3
         for _ in range(50):
             t = float((n * t * ratio / (t * ratio + 1 - t)).sum() / n.sum())
             t = min(max(t, 1e-4), 0.95)
         model.weights[level] = t
+    fitted = sorted(by_level)
+    for level in range(1, len(model.weights)):
+        if fitted and level not in by_level:
+            model.weights[level] = model.weights[next((q for q in fitted if q > level), fitted[-1])]
 
 
 def _head(merged: DataFrame, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -530,9 +559,6 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         docs = stored(docs, "lm-docs")
     held = F.coalesce(held_out if held_out is not None else remainder("doc_id", 7) == 2, F.lit(False))
     marked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("_held"))
-    digest, eligible = F.xxhash64("doc_id"), F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(TUNE_SHARE)) == 0)
-    chosen = marked.where("NOT _held").where(eligible).select(digest.alias("h")).orderBy("h").limit(TUNE_DOCS).agg(F.max("h").alias("h")).first()["h"]
-    marked = marked.withColumn("_tune", eligible & (digest <= F.lit(chosen)) if chosen is not None else F.lit(False))
     train = marked.where("NOT _held")
     bits = max(4, int(np.ceil(np.log2(max(1, docs.count() / BUCKET_DOCS)))))
     merged = stored(_merged(_counted(train, bits)), "lm-counts")
@@ -541,17 +567,16 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     n_words = sum(n for (k, _), (n, _) in histogram.items() if k == 0)
     head_level = _head_level(histogram)
     mass = sum(n * float(expected_count(np.array([q + 1]))[0]) for (k, q), (n, _) in histogram.items() if k == 0)
-    kept = _kept(merged, False)
-    held_bytes = sum(n * (q + 1) for (k, q), (n, _) in histogram.items() if k != 2) * BITS_PER_ENTRY // 8
-    fits = held_bytes <= MOST_FILTER_BYTES
-    model = Model(_build(_kept(merged, True), bits) if fits else None, n_words, mass)
-    _tune(model, train, _kept(merged, True), bits)
-    model.filter = _build(kept, bits) if fits else None
+    kept = merged.select("bucket", "kind", "level", "keys")
+    held_bytes = sum(n * (q + 1) for (_, q), (n, _) in histogram.items()) * BITS_PER_ENTRY // 8
+    model = Model(_build(kept, bits) if held_bytes <= MOST_FILTER_BYTES else None, n_words, mass)
     model.head_keys, model.head_counts = _head(merged, head_level)
     shared = docs.sparkSession.sparkContext.broadcast(model.without_filter())
     all_head = head_level <= min((q for k, q in histogram if k == 0), default=0)
 
-    def score(seen: Looked, own: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    share = TUNE_SHARE
+
+    def look(seen: Looked, own: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         model = shared.value
         row, n, doc = seen.row, seen.end - seen.row, seen.doc
         at = np.minimum(np.searchsorted(model.head_keys, seen.words), max(0, len(model.head_keys) - 1))
@@ -560,18 +585,37 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         logs, known = np.log10(count + 1.0)[seen.place], known[seen.place]
         rare = np.flatnonzero(~known) if not all_head else np.zeros(0, np.int64)
         bounds = np.searchsorted(doc[rare], np.arange(n + 1)).astype(np.int32)
+        held = own.column(2).slice(row, n).to_numpy(zero_copy_only=False)
+        fit = np.concatenate(model.left_out(seen, ~held & (pc.fill_null(own.column(1).slice(row, n), 0).to_numpy(zero_copy_only=False) % share == 0)))
         out = [
             *(own.column(c).slice(row, n) for c in range(3)),
             pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
             pa.array(np.bincount(doc, weights=known, minlength=n).astype(np.int64)),
             pa.array(np.bincount(doc, weights=logs, minlength=n)),
-            pa.array(np.bincount(doc, weights=model.log10(seen), minlength=n)),
+            pa.array(_packed_levels(seen, np.searchsorted(doc, np.arange(n + 1))), pa.binary()),
+            pa.array([fit.astype(np.int64).tobytes(), *[None] * (n - 1)], pa.binary()),
             pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(seen.token[rare]))),
         ]
-        yield pa.RecordBatch.from_arrays(out, names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "score", "rare"])
+        yield pa.RecordBatch.from_arrays(out, names=["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "levels", "fit", "rare"])
+
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, levels binary, fit binary, rare array<long>"
+    scored = stored(_used(model, marked.select("uid", "doc_id", "_held", "text"), kept, bits, look, schema), "lm-scores")
+    _tune(model, scored)
+    fitted = Model(None, n_words, mass)
+    fitted.weights = model.weights
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, found = batch.column(3).to_numpy(), []
+            for a, b in groups(size):
+                word, pair = np.frombuffer(b"".join(zlib.decompress(x, -15) for x in batch.column(6).slice(a, b - a).to_pylist()), np.uint8).reshape(-1, 2).T.astype(np.int64)
+                end = np.cumsum(size[a:b])
+                history = np.roll(word, 1)
+                history[end - size[a:b]] = word[end - 1]  # a beginning counts as the end does
+                found.append(np.bincount(np.repeat(np.arange(b - a), size[a:b]), weights=fitted.log10(word, history, pair), minlength=b - a))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.concatenate([np.zeros(0), *found]))], names=[*batch.schema.names[:6], "score"])
 
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, rare array<long>"
-    scored = stored(_used(model, marked.select("uid", "doc_id", "_held", "text"), kept, bits, score, schema), "lm-scores")
+    weighed = scored.drop("fit", "rare").mapInArrow(weigh, "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, score double")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -581,7 +625,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     tail = merged.where(f"kind = 0 AND level < {head_level}").select("keys", "counts").mapInArrow(unpack, "word long, c long")
     asked = scored.select("uid", F.explode("rare").alias("word"))
     found = asked.join(tail, "word").groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"), F.count("*").alias("tail_known"))
-    out = scored.drop("rare").join(found, "uid", "left")
+    out = weighed.join(found, "uid", "left")
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_train + n_words + 1)))
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -324,6 +324,37 @@ def test_language_model_equals_exact_counts(docs, rows_of, monkeypatch, bits, mo
     assert max(off) < error if bits > 12 else np.mean(off) < error and np.mean([o > error for o in off]) < 0.2
 
 
+def test_language_model_fits_on_every_training_text(docs, rows_of, monkeypatch):
+    """The weights are those of a plain fit on all training texts, each against the counts of the others."""
+    held = {}
+    tune = lm._tune
+    monkeypatch.setattr(lm, "_tune", lambda model, *rest: (tune(model, *rest), held.update(model=model))[0])
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 96)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 300, raising=False)
+    lm.score_documents(docs).collect()
+    train = [WORD.findall(t.translate(LOWER)) + [None] for i, t in rows_of if zlib.crc32(str(i).encode()) % 7 != 2]
+    before = lambda text: [None, *text[:-1]]  # noqa: E731 - beginnings count as ends do
+    words, pairs = Counter(w for text in train for w in text), Counter(p for text in train for p in zip(before(text), text, strict=True))
+    middle = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5
+    mass = sum(map(middle, words.values()))
+    ratios = defaultdict(list)
+    for text in train:
+        own, own_pairs = Counter(text), Counter(zip(before(text), text, strict=True))
+        for h, w in zip(before(text), text, strict=True):
+            left = middle(words[h]) - own[h]
+            if left >= 1:
+                follow = min(1.0, max(0.0, middle(pairs[h, w]) - own_pairs[h, w]) / left)
+                alone = (max(0.0, middle(words[w]) - own[w]) + 1) / (mass + len(words) + 1)
+                ratios[words[h].bit_length()].append(2 ** (np.rint(2 * np.log2(follow / alone)) / 2) if follow else 0.0)
+    assert len(ratios) > 3
+    for level, ratio in ratios.items():
+        ratio, t = np.array(ratio), 0.3
+        for _ in range(50):
+            t = min(max(float((t * ratio / (t * ratio + 1 - t)).mean()), 1e-4), 0.95)
+        assert held["model"].weights[level] == pytest.approx(t, rel=1e-6), level
+    assert held["model"].weights[1] == held["model"].weights[2]
+
+
 def test_language_model_tail_join(docs, monkeypatch):
     before = {r["doc_id"]: r["base_score"] for r in lm.score_documents(docs).collect()}
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
