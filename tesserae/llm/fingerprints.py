@@ -4,10 +4,10 @@ A text c_0..c_n of code points has two prefix arrays P[i] = sum(c_j * b**j, j <
 for each of two bases. From them the hash of any span costs O(1), so equality of spans and, by binary search, the
 longest common extension of two positions need no comparison of characters (`PrefixHashes`).
 
-Likeness of two texts. Spans of `SPAN` code points whose hash falls in one of `SPARSE` classes (every span, where a
-text is shorter than `SHORT`) are anchors. Where an anchor of one text stands in the other too, its place is joined
-with the next such place on the same diagonal if the span between is equal, and the ends of these chains are widened
-to the longest common extension, backward and forward. What is so covered in either text is common: with c the mean
+Likeness of two texts. Every span of `SPAN` code points is an anchor, whatever the length of the texts. Where an anchor
+of one text stands in the other too, its place is joined with the next one if that follows on the same diagonal, and the
+ends of these chains are widened to the longest common extension, backward and forward. What is so covered in either
+text is common, exactly what its spans that stand in the other text cover: with c the mean
 of the two covered lengths, likeness is c / (n + m - c): 1 for equal texts, 0 without a common span, and a third
 where one half was replaced. A text shorter than SPAN has its longest common extension from the start only. Whole
 batches of documents share one pair of prefix arrays, so the extensions of all of them are searched for at once.
@@ -37,7 +37,10 @@ PRIME = (1 << 31) - 1
 BASES = (0x2F1B3A57 % PRIME, 0x51ED2709 % PRIME)
 SPAN = 16
 KEEP = 64
-SPARSE, SHORT = 32, 512
+#: Texts under so many code points have an exact likeness: all texts.
+SHORT = 1 << 31
+#: Entries of the table by which most spans that the other text lacks are left out before places are looked up.
+SIEVE_BITS = 22
 #: Most blocks of neighbouring documents; bounds what is known of them on the driver and in tasks.
 MOST_BLOCKS = 1 << 15
 BLOCK_ROWS = 500
@@ -148,7 +151,6 @@ class Batch:
         self.start = self.end - self.size
         self.hashes = PrefixHashes(np.concatenate([np.zeros(0, np.uint32), *texts]))
         self.spans = mix(self.hashes.windows(SPAN)) if self.hashes.n >= SPAN else np.zeros(0, U64)
-        self.thin = np.flatnonzero(self.spans & U64(SPARSE - 1) == 0)  # places of the one class
 
     def sketches(self) -> list[tuple[int, int, np.ndarray]]:
         whole = self.hashes.spans(self.start, self.end)
@@ -179,35 +181,30 @@ class Batch:
             high[live] = np.where(same, high[live], middle - 1)
         return low
 
-    def _anchors(self, text: np.ndarray, sparse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number in `text`, place) of the anchors of texts, of one class of spans or of all."""
-        last = np.maximum(self.end[text] - SPAN + 1, self.start[text])
-        a, b = np.where(sparse, np.searchsorted(self.thin, self.start[text]), self.start[text]), np.where(sparse, np.searchsorted(self.thin, last), last)
-        count = b - a
+    def _anchors(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in `text`, place, key) of the spans of texts; keys are equal where numbers and spans are."""
+        count = np.maximum(0, self.size[text] - SPAN + 1)
         number = np.repeat(np.arange(len(text)), count)
-        place = np.arange(count.sum()) + np.repeat(a - np.cumsum(count) + count, count)
-        listed = sparse[number]
-        place[listed] = self.thin[place[listed]]
-        return number, place
+        place = np.arange(count.sum()) + np.repeat(self.start[text] - np.cumsum(count) + count, count)
+        return number, place, mix(self.spans[place] + np.repeat(mix(np.arange(len(text), dtype=U64)), count))
 
-    def _covered(self, a: np.ndarray, b: np.ndarray, sparse: np.ndarray) -> np.ndarray:
+    def _covered(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Code points of each text of `a` that common extensions with the text of `b` cover."""
-        (pair, i), (other, j) = self._anchors(a, sparse), self._anchors(b, sparse)
+        (pair, i, key_a), (_, j, key_b) = self._anchors(a), self._anchors(b)
+        kept = _sieved(key_a, key_b)
+        pair, i, key_a = pair[kept], i[kept], key_a[kept]
+        kept = _sieved(key_b, key_a)
+        j, key_b = j[kept], key_b[kept]
         # The first place in b of each span of b; then the spans of a that are among them.
-        key_b = mix(self.spans[j] + mix(other.astype(U64)))
         distinct, first = np.unique(key_b, return_index=True)
-        key_a = mix(self.spans[i] + mix(pair.astype(U64)))
         at = np.minimum(np.searchsorted(distinct, key_a), max(0, len(distinct) - 1))
         hit = distinct[at] == key_a if len(distinct) else np.zeros(len(key_a), bool)
         pair, i, j = pair[hit], i[hit], j[first[at[hit]]]
-        order = np.lexsort((i, i - j, pair))
-        pair, i, j = pair[order], i[order], j[order]
         cover = np.zeros(len(a), np.int64)
         if not len(i):
             return cover
         joined = np.zeros(len(i), bool)  # with the anchor before
-        near = np.flatnonzero((pair[1:] == pair[:-1]) & (i[1:] - j[1:] == i[:-1] - j[:-1]))
-        joined[1 + near] = self.equal(i[near], j[near], i[1 + near] - i[near])
+        joined[1:] = (pair[1:] == pair[:-1]) & (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)
         head = np.flatnonzero(~joined)
         last = np.append(head[1:], len(i)) - 1
         pair, left, right = pair[head], i[head], i[last]
@@ -227,13 +224,19 @@ class Batch:
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Likeness of the texts numbered a and b, pair by pair."""
         n, m = self.size[a], self.size[b]
-        sparse = np.minimum(n, m) >= SHORT
-        common = (self._covered(a, b, sparse) + self._covered(b, a, sparse)) / 2
+        common = (self._covered(a, b) + self._covered(b, a)) / 2
         tiny = np.minimum(n, m) < SPAN
         common[tiny] = self.extension(self.start[a[tiny]], self.start[b[tiny]], np.minimum(n, m)[tiny])
         return np.where(n + m > 0, common / np.maximum(1, n + m - common), 1.0)
 
 
+def _sieved(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of `keys` without most of those that are not among the others."""
+    seen = np.zeros(1 << SIEVE_BITS, bool)
+    seen[others >> U64(64 - SIEVE_BITS)] = True
+    return np.flatnonzero(seen[keys >> U64(64 - SIEVE_BITS)])
+
+
 def render(sketched: tuple[int, int, np.ndarray]) -> str:
     """The fingerprint string: length, whole hash and values in hexadecimal."""
     n, whole, values = sketched
@@ -285,7 +288,7 @@ def fingerprint_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
         return spark.createDataFrame([], SCHEMA)
     wanted = max(1, min(MOST_BLOCKS, total // block_rows))
     cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted))) if wanted > 1 else []
-    bounds = [int(x) for x in cuts]
+    bounds = sorted({min(int(x), (1 << 63) - 1) for x in cuts})  # quantiles are doubles, so the largest ids round past a long
     # Block 0 holds the largest doc_ids; nulls are in the last one.
     placed = _blocks(rows, bounds)
     heads = {r["_block"]: r["head"] for r in _blocks(ids, bounds).groupBy("_block").agg(F.max("doc_id").alias("head")).collect()}

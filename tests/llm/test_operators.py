@@ -642,6 +642,29 @@ def test_fingerprints(spark, texts, monkeypatch, block, points):
     assert len(out) == len(rows) and len(set(by_text.values())) == len(by_text)
 
 
+@pytest.mark.parametrize("size", [100, 511, 512, 513, 4000])
+def test_likeness_is_exact_at_every_length(size):
+    """Short common passages count whatever the length of the texts around them."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    pairs = []
+    for shared in (15, 16, 17, 20, 31, 40, 90):
+        passage = text(shared)
+        a, b = text(size - shared), text(size - shared)
+        pairs.append((a[:7] + passage + a[7:] + a[-30:], b + passage + b[:20] + passage))
+    pairs += [("ab" * size, "ba" * size), (pairs[0][0], pairs[0][0]), (pairs[1][0], pairs[1][0][: size // 2] + pairs[2][0])]
+    batch = fingerprints.Batch([fingerprints._points(t) for both in pairs for t in both])
+    first = np.arange(0, 2 * len(pairs), 2)
+    assert batch.alike(first, first + 1) == pytest.approx([plain_likeness(*both) for both in pairs], abs=1e-12)
+
+
+def test_fingerprints_of_the_largest_ids_in_blocks(spark):
+    rng = random.Random(6)
+    frame = spark.createDataFrame([((1 << 63) - 1 - k, prose(rng, 30)) for k in range(20)], "doc_id long, text string")
+    whole, dealt = (sorted(map(tuple, fingerprints.fingerprint_documents(frame, block).collect())) for block in (500, 5))
+    assert whole == dealt and len(whole) == 20
+
+
 def test_fingerprint_blocks(spark):
     ids = [*range(0, 3000, 3), 1 << 62, -(1 << 62), *range(10**9, 10**9 + 50), 0, 0]
     bounds = sorted({ids[k] for k in range(0, len(ids), 7)})
