@@ -5,7 +5,8 @@ for each of two bases. From them the hash of any span costs O(1), so equality of
 longest common extension of two positions need no comparison of characters (`PrefixHashes`).
 
 Likeness of two texts. Every span of `SPAN` code points is an anchor, whatever the length of the texts. Where an anchor
-of one text stands in the other too, its place is joined with the next one if that follows on the same diagonal, and the
+of one text stands in the other too (those inside their longest common extension from the start do, and are not looked
+up), its place is joined with the next one if that follows on the same diagonal, and the
 ends of these chains are widened to the longest common extension, backward and forward. What is so covered in either
 text is common, exactly what its spans that stand in the other text cover: with c the mean
 of the two covered lengths, likeness is c / (n + m - c): 1 for equal texts, 0 without a common span, and a third
@@ -40,7 +41,7 @@ KEEP = 64
 #: Texts under so many code points have an exact likeness: all texts.
 SHORT = 1 << 31
 #: Entries of the table by which most spans that the other text lacks are left out before places are looked up.
-SIEVE_BITS = 22
+SIEVE_BITS = 21
 #: Most blocks of neighbouring documents; bounds what is known of them on the driver and in tasks.
 MOST_BLOCKS = 1 << 15
 BLOCK_ROWS = 500
@@ -181,16 +182,16 @@ class Batch:
             high[live] = np.where(same, high[live], middle - 1)
         return low
 
-    def _anchors(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number in `text`, place, key) of the spans of texts; keys are equal where numbers and spans are."""
-        count = np.maximum(0, self.size[text] - SPAN + 1)
+    def _anchors(self, text: np.ndarray, skip: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number in `text`, place, key) of the spans of texts but their first ones; keys are equal where numbers and spans are."""
+        count = np.maximum(0, self.size[text] - SPAN + 1 - skip)
         number = np.repeat(np.arange(len(text)), count)
-        place = np.arange(count.sum()) + np.repeat(self.start[text] - np.cumsum(count) + count, count)
+        place = np.arange(count.sum()) + np.repeat(self.start[text] + skip - np.cumsum(count) + count, count)
         return number, place, mix(self.spans[place] + np.repeat(mix(np.arange(len(text), dtype=U64)), count))
 
-    def _covered(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Code points of each text of `a` that common extensions with the text of `b` cover."""
-        (pair, i, key_a), (_, j, key_b) = self._anchors(a), self._anchors(b)
+    def _covered(self, a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        """Code points of each text of `a` that common extensions with the text of `b` cover; `alike` from the start are known to."""
+        (pair, i, key_a), (_, j, key_b) = self._anchors(a, np.maximum(0, alike - SPAN + 1)), self._anchors(b)
         kept = _sieved(key_a, key_b)
         pair, i, key_a = pair[kept], i[kept], key_a[kept]
         kept = _sieved(key_b, key_a)
@@ -200,18 +201,20 @@ class Batch:
         at = np.minimum(np.searchsorted(distinct, key_a), max(0, len(distinct) - 1))
         hit = distinct[at] == key_a if len(distinct) else np.zeros(len(key_a), bool)
         pair, i, j = pair[hit], i[hit], j[first[at[hit]]]
-        cover = np.zeros(len(a), np.int64)
-        if not len(i):
-            return cover
         joined = np.zeros(len(i), bool)  # with the anchor before
         joined[1:] = (pair[1:] == pair[:-1]) & (i[1:] == i[:-1] + 1) & (j[1:] == j[:-1] + 1)
         head = np.flatnonzero(~joined)
-        last = np.append(head[1:], len(i)) - 1
+        last = np.append(head[1:], len(i))[: len(head)] - 1
         pair, left, right = pair[head], i[head], i[last]
         back = np.minimum(left - self.start[a[pair]], j[head] - self.start[b[pair]])
         ahead = np.minimum(self.end[a[pair]] - right, self.end[b[pair]] - j[last])
         begin = left - self.extension(left, j[head], back, backward=True)
         until = right + self.extension(right, j[last], ahead)
+        first = np.flatnonzero(alike >= SPAN)
+        pair, begin, until = np.append(first, pair), np.append(self.start[a[first]], begin), np.append((self.start[a] + alike)[first], until)
+        cover = np.zeros(len(a), np.int64)
+        if not len(pair):
+            return cover
         order = np.lexsort((begin, pair))
         pair, begin, until = pair[order], begin[order], until[order]
         # Texts of `a` may repeat, so places of each pair are moved apart before overlaps are taken out.
@@ -224,9 +227,10 @@ class Batch:
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Likeness of the texts numbered a and b, pair by pair."""
         n, m = self.size[a], self.size[b]
-        common = (self._covered(a, b) + self._covered(b, a)) / 2
+        alike = self.extension(self.start[a], self.start[b], np.minimum(n, m))
+        common = (self._covered(a, b, alike) + self._covered(b, a, alike)) / 2
         tiny = np.minimum(n, m) < SPAN
-        common[tiny] = self.extension(self.start[a[tiny]], self.start[b[tiny]], np.minimum(n, m)[tiny])
+        common[tiny] = alike[tiny]
         return np.where(n + m > 0, common / np.maximum(1, n + m - common), 1.0)
 
 
