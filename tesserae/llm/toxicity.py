@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ def document_features(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bia
     return out
 
 
-# Fitting, on the driver, over bounded samples.
+# Fitting, over bounded samples: each machine in a task of its own, the logistic weights on the driver.
 
 
 def _sparse(unit: str) -> dict[int, float]:
@@ -272,7 +273,8 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 def _unit_counts(sample: DataFrame) -> DataFrame:
     """(unit, toxic_0, clean_0, toxic_1, clean_1): groups of near-copies that hold each unit, by class and part.
 
-    A text's group is the least hash of its runs of three units, which near-copies mostly share.
+    A text's group is the least hash of its runs of three units, which near-copies mostly share. One shuffle by unit
+    serves both counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +303,7 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
                 own = np.repeat(group, length)[first]
                 yield pa.RecordBatch.from_arrays([pa.array(spelt, pa.string()), pa.array(own.view(np.int64)), pa.array(toxic[d].astype(np.int32)), pa.array(part[d].astype(np.int32))], names=["unit", "group", "toxic", "part"])
 
-    seen = sample.select("text", "toxic", "part").mapInArrow(run, "unit string, group long, toxic int, part int")
+    seen = sample.select("text", "toxic", "part").mapInArrow(run, "unit string, group long, toxic int, part int").repartition("unit")
     has = {f"{kind}_{p}": (F.col("toxic") == t) & (F.col("part") == p) for p in (0, 1) for t, kind in ((1, "toxic"), (0, "clean"))}
     groups = seen.groupBy("unit", "group").agg(*[F.max(c.cast("int")).alias(k) for k, c in has.items()])
     return groups.groupBy("unit").agg(*[F.sum(k).alias(k) for k in has])
@@ -327,38 +329,62 @@ def _with_features(rows: DataFrame, machine: Machine, columns: str) -> DataFrame
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine | None:
     """A machine from the labels of rows that are not held out; `held_out` is a condition over labels.doc_id."""
     sample = _sample(docs, labels, held_out)
-    totals = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
-    if any((p, t) not in totals for p in (0, 1) for t in (0, 1)):
+    kinds = [(p, t) for p in (0, 1) for t in (0, 1)]
+    totals = dict(zip(kinds, sample.agg(*[F.count_if((F.col("part") == p) & (F.col("toxic") == t)) for p, t in kinds]).collect()[0], strict=True))
+    if not all(totals.values()):
         return None
     counts = stored(_unit_counts(sample), "toxicity-units")
+    machines = _machines(counts, totals, [(0,), (1,), (0, 1)])
     x, y = [], []
     for part in (0, 1):
-        machine = _machine(*_instances(counts, totals, (part,)))
-        if machine is None:
+        if (part,) not in machines:
             continue
-        learnt = _with_features(sample.where(F.col("part") == 1 - part).select("toxic", "text"), machine, "toxic int").select("toxic", "features").collect()
+        learnt = _with_features(sample.where(F.col("part") == 1 - part).select("toxic", "text"), machines[part,], "toxic int").select("toxic", "features").collect()
         x += [r["features"] for r in learnt]
         y += [r["toxic"] for r in learnt]
-    machine = _machine(*_instances(counts, totals, (0, 1)))
+    machine = machines.get((0, 1))
     if machine is None or not x:
         return None
     machine.weights = _logistic(np.array(x), np.array(y, np.float64), np.ones(len(y)))
     return machine
 
 
-def _instances(counts: DataFrame, totals: dict, parts: tuple[int, ...]) -> tuple[list[str], list[str], list[int]]:
-    """Positive and negative units of some parts, most telling first, at most MOST_POSITIVE and MOST_NEGATIVE; groups of the positive ones."""
+def _machines(counts: DataFrame, totals: dict, folds: list[tuple[int, ...]]) -> dict[tuple[int, ...], Machine]:
+    """The machine of each fold (some parts), fitted by a task each: units and matrices stay off the driver, which gets
+    the entries of the table that are not 0. Folds without units of both kinds have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: (r[1], r[3] if r[1] == 2 else -r[3], r[2]))
+        positive = [r for r in rows if r[1] == 0]
+        machine = _machine([r[2] for r in positive], list(dict.fromkeys(r[2] for r in rows if r[1])), [r[3] for r in positive])
+        if machine is not None:
+            codes = np.flatnonzero(machine.table).astype(np.int32)
+            parts = [rows[0][0]], [codes.tobytes()], [machine.table[codes].tobytes()], [machine.bias]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(parts, (pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["fold", "codes", "weights", "bias"])
+
+    fitted = [_instances(counts, totals, parts, k).coalesce(1).mapInArrow(run, "fold int, codes binary, weights binary, bias double") for k, parts in enumerate(folds)]
+    out = {}
+    for r in reduce(DataFrame.union, fitted).collect():
+        table = np.zeros(CLASSES**3, np.float32)
+        table[np.frombuffer(r["codes"], np.int32)] = np.frombuffer(r["weights"], np.float32)
+        out[folds[r["fold"]]] = Machine(table, r["bias"])
+    return out
+
+
+def _instances(counts: DataFrame, totals: dict, parts: tuple[int, ...], fold: int) -> DataFrame:
+    """(fold, kind, unit, n) of what some parts teach, most telling first: kind 0, positive units, by their groups n, at
+    most MOST_POSITIVE; negative ones, 1 by their groups n and 2 by a hash n, together at most MOST_NEGATIVE."""
     toxic, clean = (sum(F.col(f"{kind}_{p}") for p in parts) for kind in ("toxic", "clean"))
     n_toxic, n_clean = (sum(totals[p, t] for p in parts) for t in (1, 0))
     seen = counts.select("unit", toxic.alias("t"), clean.alias("c")).withColumn("lift", (F.col("t") / n_toxic) / ((F.col("c") + 1) / n_clean))
     # How surprising so many toxic groups are, if the unit said nothing: t log(t / expected), in nats.
     surprise = F.col("t") * F.log(F.col("t") * (n_toxic + n_clean) / ((F.col("t") + F.col("c")) * float(n_toxic)))
-    telling = seen.where(f"t >= {LEAST_GROUPS} AND lift > 5 AND length(unit) > 2").where(surprise > SURPRISE).orderBy(F.desc("t"), "unit").limit(MOST_POSITIVE)
-    positive = telling.collect()
-    plain = seen.where("c > 0 AND lift < 2 AND length(unit) > 2")
-    negative = [r["unit"] for r in plain.orderBy(F.desc("c"), "unit").limit(MOST_NEGATIVE // 2).collect()]
-    negative += [r["unit"] for r in plain.orderBy(F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE // 2).collect()]
-    return [r["unit"] for r in positive], list(dict.fromkeys(negative)), [r["t"] for r in positive]
+    telling = seen.where(f"t >= {LEAST_GROUPS} AND lift > 5 AND length(unit) > 2").where(surprise > SURPRISE)
+    plain = seen.where("c > 0 AND lift < 2 AND length(unit) > 2").withColumn("hash", F.xxhash64("unit"))
+    first = lambda of, kind, n, order, most: of.orderBy(order, "unit").limit(most).select(F.lit(fold).alias("fold"), F.lit(kind).alias("kind"), "unit", F.col(n).alias("n"))
+    positive = first(telling, 0, "t", F.desc("t"), MOST_POSITIVE)
+    return positive.union(first(plain, 1, "c", F.desc("c"), MOST_NEGATIVE // 2)).union(first(plain, 2, "hash", "hash", MOST_NEGATIVE // 2))
 
 
 def score_documents(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself on small tables, and the defined edge cases."""
 
 import hashlib
+import os
 import pathlib
 import random
 import re
@@ -770,6 +771,31 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.score_documents(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_machines_are_fitted_off_the_driver(spark, monkeypatch):
+    """Units and matrices of the fit are not the driver's; the machine that comes back is the one that was fitted."""
+    here, real = os.getpid(), toxicity._machine
+    rows = labelled(random.Random(6), 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+    def elsewhere(*units):
+        if os.getpid() == here:
+            raise AssertionError("fitted on the driver")
+        return real(*units)
+
+    monkeypatch.setattr(toxicity, "_machine", elsewhere)
+    machine = toxicity.fit(docs, labels, F.lit(False))
+    assert machine is not None and np.count_nonzero(machine.table) > 100
+    counts = spark.createDataFrame([("IDIOT", 50, 0, 50, 0), ("BLARG", 40, 0, 40, 0), ("HOUSE", 0, 9, 0, 8), ("GARDEN", 1, 90, 1, 90)], "unit string, toxic_0 long, clean_0 long, toxic_1 long, clean_1 long")
+    totals = {(0, 0): 100, (0, 1): 50, (1, 0): 100, (1, 1): 50}
+    got = toxicity._machines(counts, totals, [(0, 1), (1,)])
+    order = ["GARDEN", "HOUSE"]
+    own = {(0, 1): real(["IDIOT", "BLARG"], order, [100, 80]), (1,): real(["IDIOT", "BLARG"], order, [50, 40])}
+    for fold, want in own.items():
+        assert np.allclose(got[fold].table, want.table, atol=1e-6) and abs(got[fold].bias - want.bias) < 1e-6
+    assert toxicity._machines(counts.where("toxic_0 = 0"), totals, [(0, 1)]) == {}
+
+
 def test_packing_deals_rows_without_doc_id(spark):
     rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id, ' more') AS text", "'s' AS source")
     bins = {r["bin"].rsplit("-", 2)[0] for r in packing.pack_documents(rows, shard_docs=300).collect()}
