@@ -70,7 +70,7 @@ def to_text(column: Column, kind: Kind, native: bool) -> Column:
     if native:
         return epoch(column).cast("string")
     if kind.is_state:
-        return F.hex(column) if not kind.state == "sum" else float_text(column)
+        return float_text(column) if kind.state == "sum" else F.hex(column if kind.state == "bytes" else F.to_json(column))
     return float_text(column) if kind.is_float else column.cast("string")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.aggregates import Aggregate, beside, sets
 from tesserae.types import Kind, wrapping_cast
 
 LEAST_PARTS, MOST_PARTS = 3, 10
@@ -32,10 +33,11 @@ def select_parts(parts: list[dict]) -> list[dict]:
 def collapse(rows: DataFrame, order: list[str], kinds: dict[str, Kind]) -> DataFrame:
     """One row for each key: numbers are summed and wrap to their type, states merge, others keep their first value.
 
-    First means the least (_block, _row). All are partial aggregates, so hot keys shrink before the shuffle.
+    First means the least (_block, _row). All are partial aggregates, so hot keys shrink before the shuffle; states of
+    distinct values are merged value by value.
     """
     place = F.struct("_block", "_row")
-    merged = []
+    merged, states = [], []
     for name, kind in kinds.items():
         column = F.col(f"`{name}`")
         if name in order:
@@ -43,7 +45,8 @@ def collapse(rows: DataFrame, order: list[str], kinds: dict[str, Kind]) -> DataF
         if kind.state == "sum" or kind.is_float:
             value = F.sum(column.cast("double")).cast(kind.spark)
         elif kind.is_state:
-            value = F.hll_union_agg(column)
+            states.append(Aggregate("uniqmergestate", name, column, kind))
+            continue
         elif kind.is_numeric:
             value = wrapping_cast(F.sum(column.cast("decimal(38,0)")), Kind("Int64"), kind)
         else:
@@ -52,4 +55,6 @@ def collapse(rows: DataFrame, order: list[str], kinds: dict[str, Kind]) -> DataF
     keys = [F.col(f"`{n}`") for n in order]
     first = F.min(place).alias("_first")
     out = rows.groupBy(*keys).agg(*merged, first)
+    if states:
+        out = beside(sets(rows, order, states), out, order).withColumnsRenamed({f"_u{i}": a.name for i, a in enumerate(states)})
     return out.withColumn("_block", F.col("_first._block")).withColumn("_row", F.col("_first._row")).drop("_first")

@@ -162,10 +162,13 @@ def _grouped(rows: DataFrame, s: Select, scope: Scope) -> tuple[DataFrame, dict[
     quoted = [F.col(f"`{k}`") for k in keys]
     if not found:
         return rows.select(*quoted).distinct(), kinds
-    plain = [aggregates.column_of(a).alias(a.name) for a in found if a.function in aggregates.PLAIN]
+    plain = [aggregates.column_of(a).alias(a.name) for a in found if a.function in aggregates.PLAIN and not a.of_sets]
+    sets = [a for a in found if a.of_sets]
     placed = [a for a in found if a.function == "quantiles"]
     tops = [a for a in found if a.function == "topk"]
-    parts = [rows.groupBy(*quoted).agg(*plain)] if plain else []
+    parts = [aggregates.sets(rows, keys, sets)] if sets else []  # first, as later ones may be broadcast
+    if plain:
+        parts.append(rows.groupBy(*quoted).agg(*plain))
     if placed:
         parts.append(aggregates.quantiles(rows, keys, placed))
     if tops:
@@ -173,6 +176,8 @@ def _grouped(rows: DataFrame, s: Select, scope: Scope) -> tuple[DataFrame, dict[
     base = parts[0]  # each part has every group
     for part in parts[1:]:
         base = aggregates.beside(base, part, keys)
+    for i, a in enumerate(sets):
+        base = base.withColumnRenamed(f"_u{i}", a.name)
     for several, prefix in ((placed, "_q"), (tops, "_t")):
         for i, a in enumerate(several):
             base = base.withColumn(a.name, F.coalesce(F.col(f"{prefix}{i}"), aggregates.empty_value(a)))

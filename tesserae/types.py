@@ -22,7 +22,7 @@ _TYPES = {
     "Float64": (0, True, T.DoubleType()),
     "String": (0, False, T.StringType()),
     "DateTime": (32, False, T.LongType()),
-    "AggregateState": (0, False, T.BinaryType()),
+    "AggregateState": (0, False, T.ArrayType(T.StringType())),  # the distinct values as text
 }
 _BY_LOWER = {name.lower(): name for name in _TYPES}
 
@@ -84,8 +84,10 @@ def kind_of_spark(kind: T.DataType) -> Kind:
         return STRING
     if isinstance(kind, T.BooleanType):
         return INT
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return Kind("AggregateState", "uniq")
     if isinstance(kind, T.BinaryType):
-        return Kind("AggregateState")
+        return Kind("AggregateState", "bytes")  # of another maker: shown, never merged
     by_spark = {T.ByteType: "Int8", T.ShortType: "Int16", T.IntegerType: "Int32", T.LongType: "Int64", T.DecimalType: "UInt64"}
     if type(kind) in by_spark:
         return Kind(by_spark[type(kind)])

@@ -247,6 +247,21 @@ def test_sketch_tolerance(spark):
     assert abs(merged.first()[0] - 50_000) < 2500
 
 
+def test_merged_states_count_exactly(catalog, spark):
+    catalog.sql("CREATE TABLE src (k UInt64, a UInt64, s String) ENGINE = MergeTree() ORDER BY k")
+    catalog.sql("CREATE TABLE dst (k UInt64, u AggregateFunction(uniq, UInt64), n Int64, w AggregateFunction(uniq, String)) ENGINE = AggregatingMergeTree() ORDER BY k")
+    catalog.sql("CREATE MATERIALIZED VIEW v TO dst AS SELECT k, uniqState(a) AS u, count(*) AS n, uniqState(s) AS w FROM src GROUP BY k")
+    for batch in range(3):  # key 0 has 1,500 values in all, some in several batches
+        catalog.insert("src", spark.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") + 1000 * batch).alias("a"), F.concat(F.col("id") % 14, F.lit(', "\n')).alias("s")))
+        catalog.insert("src", spark.range(700).select(F.lit(0).alias("k"), (2 * F.col("id")).alias("a"), F.lit("").alias("s")))
+    query = "SELECT k, uniqMerge(u) AS u, sum(n) AS n, uniqMerge(w) AS w FROM dst GROUP BY k"
+    expected = [(0, 1500, 3600.0, 8), (1, 1500, 1500.0, 7)]
+    assert rows(catalog.sql(query)) == expected
+    assert catalog.optimize("dst") is not None and rows(catalog.sql(query)) == expected
+    assert catalog.sql("SELECT k FROM dst").count() == 2
+    assert rows(catalog.sql("SELECT uniqMerge(u) AS u FROM dst")) == [(3000,)] and rows(catalog.sql("SELECT uniqMerge(u) AS u FROM dst WHERE k > 5")) == [(0,)]
+
+
 def test_command_line(catalog, capsys):
     from tesserae.__main__ import main
 
