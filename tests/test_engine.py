@@ -262,6 +262,18 @@ def test_merged_states_count_exactly(catalog, spark):
     assert rows(catalog.sql("SELECT uniqMerge(u) AS u FROM dst")) == [(3000,)] and rows(catalog.sql("SELECT uniqMerge(u) AS u FROM dst WHERE k > 5")) == [(0,)]
 
 
+def test_unmerged_states_count_exactly(spark):
+    data = [(n % 3, None if n % 10 == 1 else f"{n % 5000}") for n in range(9000)] + [(3, None), (None, ""), (None, "x")]
+    frame = spark.createDataFrame(data, "k int, s string")
+    made = [compile_select(parse("SELECT k, uniqState(s) AS u, count(*) AS n FROM t GROUP BY k"), f)[0] for f in (frame, frame.where("k < 2"))]
+    wanted = {k: len({s for g, s in data if g == k and s is not None}) for k in (0, 1, 2, 3, None)}
+    found = compile_select(parse("SELECT k, uniqMerge(u) AS u, count(*) AS c FROM t GROUP BY k"), made[0].union(made[1]))[0].collect()
+    assert {r["k"]: (r["u"], r["c"]) for r in found} == {k: (u, 2 if k in (0, 1) else 1) for k, u in wanted.items()}
+    assert run(made[0], "SELECT uniqMerge(u) AS u FROM t") == [(len({s for _, s in data if s is not None}),)] == run(frame, "SELECT uniqMerge(s) AS u FROM t")
+    with pytest.raises(DialectError):  # states of another maker
+        compile_select(parse("SELECT uniqMerge(b) AS u FROM t"), frame.selectExpr("cast(s AS binary) AS b"))
+
+
 def test_command_line(catalog, capsys):
     from tesserae.__main__ import main
 
